@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -191,3 +192,32 @@ def word_spans(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s = np.flatnonzero(begins)
     e = np.flatnonzero(ends) + 1
     return s, e, np.searchsorted(s, rows)
+
+
+# -- code points -----------------------------------------------------------------------
+
+
+@lru_cache(maxsize=1)
+def letter_table() -> np.ndarray:
+    """For each code point: itself in lower case if it is a letter, else 0."""
+    table = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
+        ch = chr(c)
+        if ch.isalpha():
+            low = ch.lower()
+            table[c] = ord(low) if len(low) == 1 else c
+    return table
+
+
+def code_points(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a piece's texts and where each row begins. Bytes that are not valid
+    UTF-8 become U+FFFD."""
+    raw = piece.data.tobytes()
+    try:
+        text = raw.decode("utf-8")
+        lead = (piece.data & 0xC0) != 0x80
+        at = np.append(0, np.cumsum(lead))[piece.offsets]
+    except UnicodeDecodeError:
+        rows = [piece.row(k).decode("utf-8", "replace") for k in range(len(piece))]
+        text, at = "".join(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), at.astype(np.int64)

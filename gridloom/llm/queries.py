@@ -6,10 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.ann import search
-from gridloom.llm.base import read
+from gridloom.llm.base import read, split_of
+from gridloom.llm.language_id import identify, train
+from gridloom.llm.media import media_features, with_media
 from gridloom.llm.mixing import mixed, word_count
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, split_of("doc_id", 3) != 1)
+    found = identify(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (split_of("id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return media_features(with_media(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixed(docs).select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), F.col("_mix.weight").alias("weight"), F.col("_mix.block").alias("block"), F.col("_mix.copies").alias("copies"), F.col("_mix.slot").alias("slot"))
@@ -20,6 +34,8 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_media_columns": op2_media_columns,
     "op3_mix_sources": op3_mix_sources,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
