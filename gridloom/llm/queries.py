@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.ann import search
 from gridloom.llm.base import read, split_of
+from gridloom.llm.jaccard import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.media import media_features, with_media
 from gridloom.llm.mixing import mixed, word_count
@@ -29,6 +30,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), F.col("_mix.weight").alias("weight"), F.col("_mix.block").alias("block"), F.col("_mix.copies").alias("copies"), F.col("_mix.slot").alias("slot"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs).withColumnRenamed("id", "doc_id")
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"))
 
@@ -37,6 +43,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_media_columns": op2_media_columns,
     "op3_mix_sources": op3_mix_sources,
+    "op5_jaccard_join": op5_jaccard_join,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
 
