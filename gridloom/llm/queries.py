@@ -11,6 +11,7 @@ from gridloom.llm.jaccard import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.media import media_features, with_media
 from gridloom.llm.mixing import mixed, word_count
+from gridloom.llm.suffix_dedup import repeat_report
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs).withColumnRenamed("id", "doc_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeat_report(docs).withColumnRenamed("id", "doc_id")
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"))
 
@@ -44,6 +50,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op3_mix_sources": op3_mix_sources,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
 
