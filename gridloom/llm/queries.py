@@ -11,6 +11,7 @@ from gridloom.llm.jaccard import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.media import media_features, with_media
 from gridloom.llm.mixing import mixed, word_count
+from gridloom.llm import toxicity
 from gridloom.llm.suffix_dedup import repeat_report
 
 
@@ -36,6 +37,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs).withColumnRenamed("id", "doc_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), lambda i: split_of(i, 4) != 2)
+    found = toxicity.score(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (split_of("id", 4) == 2).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return repeat_report(docs).withColumnRenamed("id", "doc_id")
@@ -50,6 +58,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op3_mix_sources": op3_mix_sources,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
