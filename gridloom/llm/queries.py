@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from gridloom.llm.jaccard import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.media import media_features, with_media
 from gridloom.llm.mixing import mixed, word_count
-from gridloom.llm import toxicity
+from gridloom.llm import bpe, toxicity
 from gridloom.llm.suffix_dedup import repeat_report
 
 
@@ -32,6 +33,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), F.col("_mix.weight").alias("weight"), F.col("_mix.block").alias("block"), F.col("_mix.copies").alias("copies"), F.col("_mix.slot").alias("slot"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary, with_text=False).withColumnRenamed("id", "doc_id")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs).withColumnRenamed("id", "doc_id")
@@ -57,6 +64,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_media_columns": op2_media_columns,
     "op3_mix_sources": op3_mix_sources,
+    "op4_bpe": op4_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
