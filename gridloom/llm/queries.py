@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.ann import search
 from gridloom.llm.base import read, split_of
+from gridloom.llm.html_extract import extract
 from gridloom.llm.jaccard import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.media import media_features, with_media
@@ -56,6 +57,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(docs).withColumnRenamed("id", "doc_id")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
 
