@@ -13,7 +13,7 @@ from gridloom.llm.jaccard import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.media import media_features, with_media
 from gridloom.llm.mixing import mixed, word_count
-from gridloom.llm import bpe, toxicity
+from gridloom.llm import bpe, licenses, toxicity
 from gridloom.llm.suffix_dedup import repeat_report
 
 
@@ -61,6 +61,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_html_extraction": op8_html_extraction,
+    "op9_license_scan": op9_license_scan,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
 
