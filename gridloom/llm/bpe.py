@@ -287,9 +287,9 @@ class Decoder:
         return gather(self.flat, self.offsets, ids.astype(np.int64), at)
 
 
-def decode(encoded: DataFrame, vocabulary_path: str, with_text: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, text]) from (id, ids): tokens joined by a
-    blank, special tokens kept. Null ids count as none; ids outside the vocabulary fail."""
+def decode(encoded: DataFrame, vocabulary_path: str, with_text: bool = True, with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, text][, ids]) from (id, ids): tokens joined
+    by a blank, special tokens kept. Null ids count as none; ids outside the vocabulary fail."""
     decoder = encoded.sparkSession.sparkContext.broadcast(Decoder(Vocabulary.load(vocabulary_path).tokens))
     kind = encoded.schema["id"].dataType.simpleString()
 
@@ -314,7 +314,10 @@ def decode(encoded: DataFrame, vocabulary_path: str, with_text: bool = True) ->
                 if with_text:
                     cols.append(pa.array([x.decode("utf-8") for x in own], pa.string()))
                     names.append("text")
+                if with_ids:
+                    cols.append(rows.slice(lo, hi - lo))
+                    names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
                 lo = hi
 
-    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", text string" * with_text)
+    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", text string" * with_text + ", ids array<int>" * with_ids)

@@ -176,6 +176,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(real("id").alias("id"), F.col("n").alias("n_shingles"), F.coalesce(real("c"), real("id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: JaccardParams | None = None) -> DataFrame:
+    """The rows of docs, all columns as they are, but one of each component: that of the
+    smallest id. Rows without shingles stay. Ids that repeat or are null are told apart."""
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("m")).first()
+    if ids["n"] == ids["m"]:
+        found = jaccard_components(docs, id_col, text_col, params)
+        gone = found.where("id != component_id").select(F.col("id").alias("_gone"))
+        return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    numbered = cut(docs.select(row, F.monotonically_increasing_id().alias("_k")), "numbered")
+    found = jaccard_components(numbered.select(F.col("_k").alias("id"), F.col("_row").getField(text_col).alias("text")), "id", "text", params)
+    gone = found.where("id != component_id").select(F.col("id").alias("_k"))
+    return numbered.join(gone, "_k", "left_anti").select("_row.*")
+
+
 def brute_force(rows: list[tuple], size: int = 3, up: int = 100, low: int = 90) -> list[tuple]:
     """All pairs, for tests: (id, n_shingles, component_id)."""
     import re

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.base import ByteHash, cut, pieces
 
@@ -173,6 +174,15 @@ def _spans(rows: DataFrame, size: int, base: int, p: RepeatParams) -> DataFrame:
     return rows.select("fp", "n", (a - cell * size - size + 1).cast("long").alias("s"), (a - cell * size + p.threshold).cast("long").alias("e"))
 
 
+def _union(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal runs that a list of spans covers."""
+    s = np.array([[x["s"], x["e"]] for x in spans.as_py()], np.int64).reshape(-1, 2)
+    s = s[np.argsort(s[:, 0], kind="stable")]
+    top = np.maximum.accumulate(s[:, 1])
+    new = np.append(True, s[1:, 0] > top[:-1])
+    return s[new, 0], top[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
+
+
 def _removal(texts: DataFrame) -> DataFrame:
     """(fp, n, n_removed, n_spans, kept_sha256) of texts with lists of spans."""
 
@@ -181,11 +191,7 @@ def _removal(texts: DataFrame) -> DataFrame:
             removed, count, sha = [], [], []
             for text, spans in zip(batch.column(2), batch.column(3)):
                 raw = text.as_buffer() if text.is_valid else b""
-                s = np.array([[x["s"], x["e"]] for x in spans.as_py()], np.int64).reshape(-1, 2)
-                s = s[np.argsort(s[:, 0], kind="stable")]
-                top = np.maximum.accumulate(s[:, 1])
-                new = np.append(True, s[1:, 0] > top[:-1])
-                starts, ends = s[new, 0], top[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
+                starts, ends = _union(spans)
                 h, at = hashlib.sha256(), 0
                 view = memoryview(raw)
                 for x, y in zip(starts.tolist(), ends.tolist()):
@@ -271,6 +277,54 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", params: RepeatParams | None = None) -> DataFrame:
+    """docs with repeated bytes taken out of the text, all rows and columns kept.
+
+    A character goes only if all its bytes do, so texts stay valid UTF-8. length_col, where
+    docs has it, becomes the new number of characters of changed texts; a text that repeats
+    as a whole becomes empty, a null one stays null.
+    """
+    found, _ = find_repeats(docs, id_col, text_col, params)
+    whole = found.rows.where("whole").select(F.col("fp").alias("_fp"), F.col("n").alias("_n")).distinct().select("_fp", "_n", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("_n").alias("e"))).alias("_spans"))
+    spans = found.spans.select(F.col("fp").alias("_fp"), F.col("n").alias("_n"), F.col("spans").alias("_spans")).union(whole)
+    names = docs.columns
+    at = names.index(text_col)
+    key = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_n", T.LongType())])
+
+    def mark(batches):
+        for batch in batches:
+            raw = [x.as_buffer() if x.is_valid else b"" for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_text_key(x)[1] for x in raw], pa.int64()), pa.array([len(x) for x in raw], pa.int64())], names=[*names, "_fp", "_n"])
+
+    marked = docs.mapInArrow(mark, key).join(spans, ["_fp", "_n"], "left").select(*[F.col(f"`{c}`") for c in names], "_spans")
+    length = names.index(length_col) if length_col in names else -1
+
+    def apply(batches):
+        for batch in batches:
+            texts, sizes = batch.column(at).to_pylist(), batch.column(length).to_pylist() if length >= 0 else None
+            for k, spans in enumerate(batch.column(len(names))):
+                if spans.is_valid and texts[k]:
+                    raw, parts, left = texts[k].encode("utf-8"), [], 0
+                    for x, y in zip(*(v.tolist() for v in _union(spans))):
+                        while x < y and raw[x] & 0xC0 == 0x80:
+                            x += 1
+                        while y < len(raw) and y > x and raw[y] & 0xC0 == 0x80:
+                            y -= 1
+                        parts.append(raw[left:x])
+                        left = y
+                    parts.append(raw[left:])
+                    texts[k] = b"".join(parts).decode("utf-8", "replace")
+                    if sizes is not None:
+                        sizes[k] = len(texts[k])
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, columns[at].type)
+            if sizes is not None:
+                columns[length] = pa.array(sizes, columns[length].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return marked.mapInArrow(apply, docs.schema)
+
+
 def brute_force(rows: list[tuple], threshold: int = 400) -> list[tuple]:
     """Every window in a dictionary, for tests."""
     seen: dict[bytes, int] = {}

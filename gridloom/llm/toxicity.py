@@ -404,3 +404,22 @@ def score(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(s, pa.float64()), pa.array((s >= cut_at).astype(np.int32)), pa.array([[{"start": x["start"], "end": x["end"]} for x in f] for f in found], span)], ["id", "score", "predicted", "spans"])
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, score double, predicted int, spans array<struct<start:bigint,end:bigint>>")
+
+
+def without_toxic(docs: DataFrame, model: ToxicModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose score stays below the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = held.value
+        for batch in batches:
+            if m is None:
+                yield batch
+                continue
+            texts = batch.column(at)
+            keep = [m.scores(piece)[0] < m.params.threshold for piece in pieces(texts)]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
