@@ -11,6 +11,9 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in every Python worker of the application.
 
@@ -32,3 +35,6 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     sc.addPyFile(path)
     sc._gridloom_shipped = True
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        # whole texts travel to Python in batches; smaller ones bound what workers hold
+        spark.conf.set(_BATCH, "16m")

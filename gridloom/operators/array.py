@@ -268,7 +268,8 @@ class Array:
 
     def values(self) -> list:
         """All values in row-major order, on the driver."""
-        return [r["v"] for r in self.frame().orderBy(*[axis(k) for k in range(self.rank)]).collect()]
+        df = self.frame()
+        return [r["v"] for r in (df.orderBy(*[axis(k) for k in range(self.rank)]) if self.rank else df).collect()]
 
     def copy_to(self, out: list) -> None:
         """Into a list of the same length."""

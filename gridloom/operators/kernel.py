@@ -130,7 +130,8 @@ class KernelBuilder:
                 if n not in rules or rules[n][0][0].mode == "read":
                     raise KernelError(f"{n} isn't an output")
         variables = {v for text in parsed for v in text.bindings}
-        folded = [n.lower() for n in {*names, *variables, *self.constants}]
+        columns = [n for n in names if n not in rules or rules[n][0][0].mode in ("read", "readwrite")]
+        folded = [n.lower() for n in {*columns, *variables, *self.constants}]
         for n in folded:
             if folded.count(n) > 1:
                 raise KernelError(f"names differ by case alone: {n}")
@@ -244,6 +245,7 @@ class _Lowering:
             self.ranges[f"b{k}"] = (box.lo[k] // size[k], ceil_div(box.hi[k], size[k]))
             self.ranges[f"l{k}"] = (0, size[k])
         self.used: set[str] = set()
+        self.named: dict[str, object] = {}
 
     def _names(self, rules: Rules) -> dict[str, object]:
         """Thread variables by their names in a rule text; block sizes are numbers."""
@@ -292,8 +294,8 @@ class _Lowering:
             plans[n] = [(r, self.parts(r, rules)) for r, rules in own]
         for own in self.kernel.rules.values():
             for _, rules in own:
-                names = self._names(rules)
-                self.named = getattr(self, "named", {}) | names
+                self.named |= self._names(rules)
+        self.used |= {v for v in self.named.values() if isinstance(v, str)}  # the body may name them
         relations, runs, gathers = [], False, []
         for n, own in plans.items():
             mode = own[0][0].mode
