@@ -315,15 +315,12 @@ class _Lowering:
         need += [f"b{k}" for k in range(self.box.rank) if f"b{k}" in self.used and f"g{k}" not in need]
         if self.missing == "null":
             relations.insert(0, self._derived(Relation(self._space(need), [var(n) for n in need], None, True)))
-        if relations:
-            joined = join_all(relations, self.missing == "null")
-        else:
-            joined = self._derived(Relation(self._space(need), [var(n) for n in need], None, True))
-        df, keys, total = joined.df, joined.keys, joined.total
+        held = {k for r in relations for k in r.keys}
         for n in need:  # variables that no read mentions
-            if var(n) not in keys:
-                df = df.crossJoin(self._space([n]))
-                keys.append(var(n))
+            if var(n) not in held:
+                relations.append(self._derived(Relation(self._space([n]), [var(n)], None, True)))
+        joined = join_all(relations, self.missing == "null") if relations else Relation(self._space([]), [], None, True)
+        df, keys, total = joined.df, joined.keys, joined.total
         threads = [k for k in keys if not k.startswith("_o")]
         # what the body may name: variables, values and constants
         extra = {n: F.col(var(v)) for n, v in self.named.items() if isinstance(v, str) and var(v) in keys}
