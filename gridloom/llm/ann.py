@@ -43,7 +43,7 @@ class Index:
     rotation: np.ndarray
     probes: int
     seeds: np.ndarray
-    seed_ids: np.ndarray
+    seed_ids: list
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -54,7 +54,7 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column])
 
 
-def fit(ids: np.ndarray, sample: np.ndarray, rows: int, p: AnnParams) -> Index:
+def fit(ids: list, sample: np.ndarray, rows: int, p: AnnParams) -> Index:
     """Spherical k-means on the sample, and the fewest probes that reach the recall goal
     on the sample's own exact neighbours (which lie farther apart than in the full set)."""
     rng = np.random.default_rng(p.seed)
@@ -80,7 +80,7 @@ def fit(ids: np.ndarray, sample: np.ndarray, rows: int, p: AnnParams) -> Index:
         probes = int(needed[min(len(needed) - 1, int(np.ceil(p.recall_goal * len(needed))) - 1)]) + 1
     q, r = np.linalg.qr(rng.standard_normal((u.shape[1], u.shape[1])))
     seeds = rng.choice(len(u), min(len(u), 1024), replace=False)
-    return Index(c, q * np.sign(np.diag(r)), min(lists, probes), sample[seeds], ids[seeds])
+    return Index(c, q * np.sign(np.diag(r)), min(lists, probes), sample[seeds], [list(ids[i]) for i in seeds])
 
 
 def scan(query: np.ndarray, bound: np.ndarray, cand: np.ndarray, rotation: np.ndarray, p: AnnParams) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +147,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
     unique = cut(salted.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, p.k + 1).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v"), "vectors")
 
     n = unique.count()
-    picked = unique.orderBy(F.xxhash64("rep"), "rep").limit(p.fit_rows).select("rep", "v").toPandas()
-    index = spark.sparkContext.broadcast(fit(picked["rep"].to_numpy(), _matrix(picked["v"]), n, p))
+    picked = unique.orderBy(F.xxhash64("rep"), "rep").limit(p.fit_rows).select("ids", "v").toPandas()
+    index = spark.sparkContext.broadcast(fit(picked["ids"].tolist(), _matrix(picked["v"]), n, p))
 
     def assign(batches):
         ix = index.value
@@ -203,7 +203,20 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
         ask, ids = b["ask"].to_numpy(), a["ids"].to_numpy()
         return pd.DataFrame({"ask": ask[r[keep]], "ids": [list(ids[i]) for i in c[keep]], "score": score[keep]})
 
+    def nearby(batches):
+        ix = index.value
+        seeds = _unit(ix.seeds)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            q = _matrix(pdf["v"])
+            near = np.argsort(-(_unit(q) @ seeds.T), axis=1, kind="stable")[:, : p.k + 1]
+            r, c = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
+            yield pd.DataFrame({"ask": pdf["ask"].to_numpy()[r], "ids": [ix.seed_ids[i] for i in c], "score": exact_cosine(q[r], ix.seeds[c])})
+
     found = left.groupBy("list", "chunk", "block").cogroup(right.groupBy("list", "chunk", "block")).applyInPandas(pairs, "ask long, ids array<long>, score double")
+    # bounds come from sample vectors, which may lie in lists that aren't probed: they count too
+    found = found.union(asks.mapInPandas(nearby, "ask long, ids array<long>, score double")).groupBy("ask", "ids").agg(F.max("score").alias("score"))
     # each distinct query vector was searched once; its ids share what was found
     ranked = Window.partitionBy("ask").orderBy(F.desc("score"), F.col("ids")[0])
     best = found.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= p.k + 1)

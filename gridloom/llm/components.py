@@ -17,7 +17,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, comp) of every node with an edge; comp is the least node of its component.
+    """(node, comp) of every node that isn't the least of its component; comp is that least node.
 
     edges: columns u and v of one orderable type; loops and repeats do no harm. Neighbours
     are reduced by a grouped minimum and a join, so no task gathers a hub's edges. Each
