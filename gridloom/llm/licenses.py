@@ -145,7 +145,9 @@ def find_in(words: list[int], hits: list[tuple[int, list[tuple[int, int]]]], ind
             seeds[template].add(at - position)
     out = []
     for template, diagonals in sorted(seeds.items()):
-        t, band = index.words[template], max(index.params.band, len(index.words[template]) // 10)
+        t = index.words[template]
+        # narrow enough that copies end to end lie on bands of their own
+        band = max(min(index.params.band, len(t) // 4), len(t) // 10)
         found, done = [], None
         for d in sorted(diagonals):
             if done is not None and d - done <= band // 2:
