@@ -15,7 +15,8 @@ from gridloom.functions.reductions import arg_max, arg_min
 from gridloom.operators.array import Array
 from gridloom.operators.context import Context
 from gridloom.operators.kernel import KernelBuilder, Scatter
-from gridloom.plans.distribution import Stencil, Tiles
+from gridloom.plans.distribution import Permuted, Stencil, Tiles, row_blocks
+from gridloom.plans.geometry import Permutation
 from gridloom.sources.tables import cents, column_array, embedding_matrix, events_values, order_prices, reshaped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,3 +474,128 @@ def p8_halo_chunks(c, d):
     a = ev(c, d)
     cells = Stencil((128,), (2,)).with_halo(a.frame(), a.extents)
     return cells.groupBy("chunk").agg(F.count(F.lit(1)).alias("cells"), F.min("i0").alias("lo"), (F.max("i0") + 1).alias("hi"))
+
+
+# -- further forms ---------------------------------------------------------------------
+
+
+@query("SELECT x AS i0, y AS i1, CAST(3 AS BIGINT) AS v FROM ev2")
+def s5_full_like(c, d):
+    return c.full_like(ev2(c, d), 3)
+
+
+@query("SELECT i AS i0, CASE WHEN i < 5 THEN i * 11 ELSE v END AS v FROM ev")
+def s7_bulk_write(c, d):
+    a = ev(c, d)
+    a[0:5].copy_from([0, 11, 22, 33, 44])
+    return a
+
+
+@query("SELECT CAST(0 AS BIGINT) AS i0, i AS i1, v FROM ev")
+def v10_insert_axis(c, d):
+    return ev(c, d).insert_axis(0)
+
+
+@query("SELECT y - 5 AS i0, x AS i1, v FROM ev2 WHERE y >= 5 AND y < 15")
+def o2_copy_of_view(c, d):
+    return ev2(c, d).T[5:15].copy()
+
+
+@query("SELECT a.i AS i0, COALESCE(b.v, -1) AS v FROM ev a LEFT JOIN ev b ON b.i = a.i - 1")
+def k_missing_as_null(c, d):
+    a = ev(c, d)
+    out = c.empty(len(a), dtype="int64")
+    kernel(c, "global i => read A[i-1], write B[i]", {"B": "coalesce(A, -1)"}, "A", "B").launch(len(a), a, out, missing="null")
+    return out
+
+
+@query("SELECT 2 * i AS i0, v FROM ev UNION ALL SELECT 2 * i + 1 AS i0, -v AS v FROM ev")
+def k_write_run(c, d):
+    a = ev(c, d)
+    out = c.zeros(2 * len(a), dtype="int64")
+    kernel(c, "global i => read A[i], write B[2*i:2*i+2]", {"B": "array(A, -A)"}, "A", "B").launch(len(a), a, out)
+    return out
+
+
+@query("SELECT x.i AS i0, y.i AS i1, a.v FROM ev x JOIN ev y ON x.i < 20 AND y.i < 30 JOIN ev a ON a.i = x.i + y.i")
+def j2_two_variables(c, d):
+    a = ev(c, d)
+    out = c.empty((20, 30), dtype="int64")
+    kernel(c, "global [i, j] => read A[i+j], write C[i,j]", {"C": "A"}, "A", "C").launch((20, 30), a, out)
+    return out
+
+
+@query("SELECT i AS i0, v + 1000000 * (i // 64) + (i % 64) AS v FROM ev")
+def d1_block_and_local(c, d):
+    a = ev(c, d)
+    out = c.empty(len(a), dtype="int64")
+    kernel(c, "global i, block b, local l => read A[i], write B[i]", {"B": "A + 1000000 * b + l"}, "A", "B").launch(len(a), a, out, block=64)
+    return out
+
+
+@query("SELECT x AS i0, CAST(SUM(v) AS BIGINT) AS v FROM ev2 WHERE y IN (3, 13, 23, 33, 43) GROUP BY x")
+def d8_strided_run(c, d):
+    a = ev2(c, d)
+    out = c.empty(a.nrows, dtype="int64")
+    kernel(c, "global i => read A[i, 3:44:10], write B[i]", {"B": "sum(A)"}, "A", "B").launch(a.nrows, a, out)
+    return out
+
+
+@query("SELECT i AS i0, CAST(SUM(v) OVER (ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS v FROM ev")
+def u1_numpy_blocks(c, d):
+    """A numpy body over blocks of 1,000 threads and their halos."""
+    import numpy as np
+
+    a = ev(c, d)
+    out = c.empty(len(a))
+
+    def body(block, A):
+        lo, hi, n = block.lo[0], block.hi[0], A.origin[0] + len(A.values)
+        sums = np.concatenate([[0.0], np.cumsum(A.values)])
+        at = np.arange(lo, hi)
+        return sums[np.minimum(at + 2, n) - A.origin[0]] - sums[np.maximum(at - 1, A.origin[0]) - A.origin[0]]
+
+    k = KernelBuilder(body).param_array("A", INT64).param_array("B", "float64").annotate("global i => read A[i-1:i+2], write B[i]").compile(c)
+    k.launch(len(a), a, out, dist=Tiles((1000,)))
+    return out.frame().select("i0", F.round("v").cast("long").alias("v"))
+
+
+@query("SELECT i // n AS chunk, MIN(i) AS lo0, MAX(i) + 1 AS hi0 FROM ev, (SELECT (COUNT(*) + 3) // 4 AS n FROM ev) s GROUP BY i // n")
+def p5_row_blocks(c, d):
+    a = ev(c, d).distributed(row_blocks(4))
+    return a.regions().select("chunk", "lo0", "hi0")
+
+
+@query("SELECT c0 * 2 + c2 AS chunk, COUNT(*) AS cells FROM od3 JOIN (SELECT DISTINCT x // 40 AS c0, z // 5 AS c2 FROM od3) c ON x >= c0 * 40 - 2 AND x < c0 * 40 + 41 AND z >= c2 * 5 - 1 AND z < c2 * 5 + 6 GROUP BY c0, c2")
+def p10_stencil_3d(c, d):
+    a = od3(c, d)
+    dist = Stencil((40, 5, 5), (2, 0, 1), (1, 0, 1))
+    return dist.with_halo(a.frame(), a.extents).groupBy("chunk").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("SELECT y // 25 AS t0, COUNT(*) AS cells FROM ev2 GROUP BY y // 25")
+def p12_permuted(c, d):
+    a = ev2(c, d)
+    dist = Permuted(Permutation((1, 0)), Tiles((25,)))
+    keyed = a.frame().withColumn("chunk", dist.number(a.extents))
+    return keyed.groupBy(F.col("chunk").alias("t0")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+def t4_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan trace of a launch, as rows."""
+    c = Context(spark)
+    a = ev(c, sf_dir)
+    _stencil(c, a)
+    return spark.createDataFrame([(e["id"], e["kind"], str(e.get("name", ""))) for e in c.trace.events], "id long, kind string, name string")
+
+
+def k17_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values read back by actions that run beside the caller."""
+    c = Context(spark)
+    a = ev(c, sf_dir)
+    reads = [c.pool.submit(lambda k=k: a.get(k)) for k in range(4)]
+    c.synchronize()
+    return spark.createDataFrame([(k, e.wait()) for k, e in enumerate(reads)], "i0 long, v long")
+
+
+QUERIES |= {"t4_trace": t4_trace, "k17_events": k17_events}

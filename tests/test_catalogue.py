@@ -15,7 +15,7 @@ def tables(data):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_same_rows_as_sql(spark, data, tables, name):
     got = catalogue.QUERIES[name](spark, data)
     cols = sorted(got.columns)
@@ -29,3 +29,8 @@ def test_same_rows_as_sql(spark, data, tables, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["i0", "key"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_without_sql(spark, data):
+    assert {r["kind"] for r in catalogue.QUERIES["t4_trace"](spark, data).collect()} == {"array", "launch"}
+    assert catalogue.QUERIES["k17_events"](spark, data).count() == 4
