@@ -34,6 +34,7 @@ class JaccardParams:
     up: int = 100
     low: int = 90
     sketch_bits: int = 18
+    cells: int = 128
 
 
 def frequency_classes(docs: DataFrame, text_col: str, p: JaccardParams) -> np.ndarray:
@@ -65,14 +66,15 @@ def prefix_length(n: int, p: JaccardParams) -> int:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> DataFrame:
-    """(id, n, a, b, prefix): set size, fingerprint, and prefix in the order of frequency."""
+    """(id, n, a, b, prefix, spread): set size, fingerprint, prefix in the order of frequency,
+    and how many shingles fall in each of a fixed number of cells."""
     ranks = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, text_col, p))
     shift = np.uint64(64 - p.sketch_bits)
 
     def measure(batches):
         for batch in batches:
             for piece in pieces(batch.column(1)):
-                n, a, b, prefix = [], [], [], []
+                n, a, b, prefix, spread = [], [], [], [], []
                 for x in shingle_sets(piece, p.size):
                     n.append(len(x))
                     f = fingerprint(x)
@@ -81,10 +83,11 @@ def measured(docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> D
                     keep = prefix_length(len(x), p) if len(x) else 0
                     order = np.argsort(ranks.value[(x >> shift).astype(np.int64)], kind="stable")[:keep]
                     prefix.append(x[order].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "a", "b", "prefix"])
+                    spread.append(np.bincount((x % np.uint64(p.cells)).astype(np.int64), minlength=p.cells).astype(np.int32) if keep else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(spread, pa.list_(pa.int32()))], ["id", "n", "a", "b", "prefix", "spread"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.col(text_col).cast("string"))
-    return rows.mapInArrow(measure, "id long, n long, a long, b long, prefix array<long>")
+    return rows.mapInArrow(measure, "id long, n long, a long, b long, prefix array<long>, spread array<int>")
 
 
 def _may_link(x: str, y: str, p: JaccardParams) -> Column:
@@ -95,21 +98,29 @@ def _may_link(x: str, y: str, p: JaccardParams) -> Column:
     return fits & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) * (p.up + p.low) >= (n + m) * p.low)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose full sets link."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    need = nodes.select(F.col("node.id").alias("id")).distinct()
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id", "left_semi")
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose full sets link.
+
+    The sum of the lesser counts over all cells bounds an intersection from above, so pairs
+    below the need go before any full set is read. nodes: (node, id, n, spread).
+    """
+    spread = nodes.select("node", "n", "spread")
+    both = pairs.join(spread.toDF("u", "nu", "su"), "u").join(spread.toDF("v", "nv", "sv"), "v")
+    most = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    pairs = cut(both.where(most * (p.up + p.low) >= (F.col("nu") + F.col("nv")) * p.low).select("u", "v"), "likely")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = cut(nodes.select("node", "id").join(wanted, "node", "left_semi"), "wanted")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
 
     def full(batches):
         for batch in batches:
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(0)):
                 sets = shingle_sets(piece, p.size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array([fingerprint(x)[0] for x in sets], pa.int64()), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "a", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x)[0] for x in sets], pa.int64()), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "items"])
 
-    sets = rows.select("id", "text").mapInArrow(full, "id long, a long, items array<long>").select(F.struct("id", "a").alias("node"), "items")
-    sets = cut(sets.dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("y")), "v")
+    sets = rows.select("text").mapInArrow(full, "node long, items array<long>").join(wanted.select("node"), "node", "left_semi")
+    sets = cut(sets.dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared * p.up >= (F.size("x") + F.size("y") - shared) * p.low).select("u", "v")
 
@@ -121,56 +132,63 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     have no shingles and link with nothing. Rows of equal text are linked; rows that repeat an
     id share its component only if their texts link. Null ids stay null unless linked with a
     row that has one. An empty table gives no rows. No link between different texts is lost:
-    every pair that the filters pass is verified or already within one component.
+    every pair that the filters pass is verified or already within one component. Sets are
+    told apart by 128-bit fingerprints, nodes of the join by 64 of these bits.
     """
     p = params or JaccardParams()
     base = cut(measured(docs, id_col, text_col, p), "measured")
-    sets = base.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("id"))
-    sets = cut(sets.select("n", "a", "b", "id", F.struct("id", "a").alias("node")), "nodes")
+    sets = cut(base.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("id")), "nodes")
     # sets under ten shingles link (at 0.9) with equal ones only
     least = next(n for n in range(1, 1 << 20) if p.up * n >= p.low * (n + 1))
-    prefixes = base.where(F.col("n") >= least).select("n", "a", "b", "id", "prefix").join(sets.select("n", "a", "b", "id", "node"), ["n", "a", "b", "id"]).select("node", "n", "prefix").dropDuplicates(["node"])
-    members = cut(prefixes.select("node", "n", "prefix", F.xxhash64("prefix").alias("p1"), F.hash("prefix", "n").alias("p2")), "prefixes")
-    groups = members.groupBy("n", "p1", "p2").agg(F.min("node").alias("g"))
-    member = cut(members.select("node", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("node", "g"), "members")
-    lists = members.join(groups.select(F.col("g").alias("node")), "node", "left_semi").select(F.col("node").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
-    alone = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    lists = cut(lists.join(alone, "token"), "lists")
+    nodes = base.where(F.col("n") >= least).join(sets, ["n", "a", "b", "id"], "left_semi").dropDuplicates(["a"])
+    nodes = cut(nodes.select(F.col("a").alias("node"), "id", "n", "prefix", "spread", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")), "prefixes")
+    member = nodes.select("node", "n", "p1", "p2").join(nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("g")), ["n", "p1", "p2"])
+    member = cut(member.select("node", "g"), "members")
+    lists = nodes.select("node", "n", "prefix").join(member.where("node = g").select("node"), "node", "left_semi").select(F.col("node").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = lists.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("token")
+    lists = cut(lists.join(shared, "token"), "lists")
 
     # round 1: each shingle's groups with its least group, each group's members with its least
     least_of = lists.groupBy("token").agg(F.min(F.struct("g", "n", "pos")).alias("x"))
     star = lists.select("token", F.struct("g", "n", "pos").alias("y")).join(least_of, "token").where(F.col("x.g") != F.col("y.g")).where(_may_link("x", "y", p)).select(F.col("x.g").alias("u"), F.col("y.g").alias("v"))
-    inner = member.where(F.col("node") != F.col("g")).select(F.col("g").alias("u"), F.col("node").alias("v"))
-    links = cut(verified(cut(star.union(inner).distinct(), "pairs"), docs, id_col, text_col, p), "links")
+    inner = member.where("node != g").select(F.col("g").alias("u"), F.col("node").alias("v"))
+    links = cut(verified(cut(star.union(inner).distinct(), "pairs"), nodes, docs, id_col, text_col, p), "links")
     labels = components(links)
 
     for last in (False, True):
         placed = cut(member.join(labels, "node", "left").select("node", "g", F.coalesce("comp", "node").alias("comp")), "placed")
         units = placed.groupBy("g", "comp").agg(F.min("node").alias("rep"))
         entries = lists.join(units, "g")
-        mixed = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high")).select("token", "low")
+        mixed = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "low")
         entries = cut(entries.join(mixed, "token"), "entries")
         # a pair is met from the side outside the shingle's least component: a large
         # component that fills a list isn't paired with itself
-        x, y = entries.where(F.col("comp") != F.col("low")).alias("x"), entries.alias("y")
+        x, y = entries.where("comp != low").alias("x"), entries.alias("y")
         once = (F.col("y.comp") == F.col("y.low")) | (F.col("x.comp") < F.col("y.comp"))
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link("x", "y", p))
-        met = met.select(F.col("x.g").alias("gx"), F.col("x.comp").alias("cx"), F.col("x.rep").alias("rx"), F.col("y.g").alias("gy"), F.col("y.comp").alias("cy"), F.col("y.rep").alias("ry")).distinct()
-        inside = units.join(units.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high")).select("g"), "g").alias("x")
-        inside = inside.join(units.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.g").alias("gx"), F.col("x.comp").alias("cx"), F.col("x.rep").alias("rx"), F.col("y.g").alias("gy"), F.col("y.comp").alias("cy"), F.col("y.rep").alias("ry"))
+        unit = [F.col(f"{t}.{c}").alias(f"{c}{t}") for t in "xy" for c in ("g", "comp", "rep")]
+        met = met.select(*unit).distinct()
+        several = units.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("g")
+        inside = units.join(several, "g")
+        inside = inside.alias("x").join(inside.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") < F.col("y.comp"))).select(*unit)
         met = met.union(inside)
         if last:
-            one, two = placed.select(F.col("g").alias("gx"), F.col("comp").alias("cx"), F.col("node").alias("u")), placed.select(F.col("g").alias("gy"), F.col("comp").alias("cy"), F.col("node").alias("v"))
-            pairs = met.join(one, ["gx", "cx"]).join(two, ["gy", "cy"]).select("u", "v").distinct()
+            one = placed.select(F.col("g").alias("gx"), F.col("comp").alias("compx"), F.col("node").alias("u"))
+            two = placed.select(F.col("g").alias("gy"), F.col("comp").alias("compy"), F.col("node").alias("v"))
+            pairs = met.join(one, ["gx", "compx"]).join(two, ["gy", "compy"]).select("u", "v").distinct()
         else:
-            pairs = met.groupBy(F.least("cx", "cy"), F.greatest("cx", "cy")).agg(F.min(F.struct(F.col("rx").alias("u"), F.col("ry").alias("v"))).alias("m")).select("m.u", "m.v")
+            pairs = met.groupBy(F.least("compx", "compy"), F.greatest("compx", "compy")).agg(F.min(F.struct(F.col("repx").alias("u"), F.col("repy").alias("v"))).alias("m")).select("m.u", "m.v")
         pairs = cut(pairs, "pairs")
         if pairs.isEmpty():
             break
-        links = cut(links.union(verified(pairs, docs, id_col, text_col, p)), "links")
-        labels = components(links)
-
-    known = sets.join(labels, "node", "left").select("n", "a", "b", F.coalesce("comp.id", "id").alias("c"))
+        more = cut(verified(pairs, nodes, docs, id_col, text_col, p), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+
+    known = sets.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    smallest = known.groupBy("comp").agg(F.min("id").alias("c"))
+    known = cut(known.join(smallest, "comp").select("n", "a", "b", "c"), "components")
     out = base.select("id", "n", "a", "b").join(known, ["n", "a", "b"], "left")
     real = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
     return out.select(real("id").alias("id"), F.col("n").alias("n_shingles"), F.coalesce(real("c"), real("id")).alias("component_id"))
