@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, pieces
+from gridloom.llm.base import cut, mix, pieces
 from gridloom.llm.components import components
 from gridloom.llm.shingles import fingerprint, shingle_sets
 
 _NO_ID = (1 << 63) - 1
+_PARITY = ["q0", "q1", "q2", "q3"]
 
 
 @dataclass(frozen=True)
@@ -66,15 +67,16 @@ def prefix_length(n: int, p: JaccardParams) -> int:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> DataFrame:
-    """(id, n, a, b, prefix, spread): set size, fingerprint, prefix in the order of frequency,
-    and how many shingles fall in each of a fixed number of cells."""
+    """(id, n, a, b, prefix, spread, q0..q3): set size, fingerprint, prefix in the order of
+    frequency, how many shingles fall in each of a fixed number of cells, and 256 parities:
+    sets differ in as many shingles at least as in parities."""
     ranks = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, text_col, p))
     shift = np.uint64(64 - p.sketch_bits)
 
     def measure(batches):
         for batch in batches:
             for piece in pieces(batch.column(1)):
-                n, a, b, prefix, spread = [], [], [], [], []
+                n, a, b, prefix, spread, parity = [], [], [], [], [], []
                 for x in shingle_sets(piece, p.size):
                     n.append(len(x))
                     f = fingerprint(x)
@@ -84,18 +86,23 @@ def measured(docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> D
                     order = np.argsort(ranks.value[(x >> shift).astype(np.int64)], kind="stable")[:keep]
                     prefix.append(x[order].astype(np.int64))
                     spread.append(np.bincount((x % np.uint64(p.cells)).astype(np.int64), minlength=p.cells).astype(np.int32) if keep else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(spread, pa.list_(pa.int32()))], ["id", "n", "a", "b", "prefix", "spread"])
+                    odd = np.bincount((mix(x) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                quarters = np.array(parity, np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(spread, pa.list_(pa.int32())), *[pa.array(quarters[:, k].copy()) for k in range(4)]], ["id", "n", "a", "b", "prefix", "spread", *_PARITY])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.col(text_col).cast("string"))
-    return rows.mapInArrow(measure, "id long, n long, a long, b long, prefix array<long>, spread array<int>")
+    return rows.mapInArrow(measure, "id long, n long, a long, b long, prefix array<long>, spread array<int>, q0 long, q1 long, q2 long, q3 long")
 
 
 def _may_link(x: str, y: str, p: JaccardParams) -> Column:
-    """Length filter, and position filter on a shared shingle at x.pos and y.pos: a linked
-    pair passes it at its first shared shingle."""
+    """What linked pairs pass: the length filter; the parity filter; and, at the first shingle
+    that both prefixes hold, the position filter (x.pos and y.pos are its places)."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    fits = (F.least(n, m) * p.up >= F.greatest(n, m) * p.low)
-    return fits & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) * (p.up + p.low) >= (n + m) * p.low)
+    fits = F.least(n, m) * p.up >= F.greatest(n, m) * p.low
+    apart = sum((F.bit_count(F.col(f"{x}.{q}").bitwiseXOR(F.col(f"{y}.{q}"))) for q in _PARITY), F.lit(0))
+    near = apart * (p.up + p.low) <= (n + m) * (p.up - p.low)
+    return fits & near & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) * (p.up + p.low) >= (n + m) * p.low)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> DataFrame:
@@ -141,26 +148,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # sets under ten shingles link (at 0.9) with equal ones only
     least = next(n for n in range(1, 1 << 20) if p.up * n >= p.low * (n + 1))
     nodes = base.where(F.col("n") >= least).join(sets, ["n", "a", "b", "id"], "left_semi").dropDuplicates(["a"])
-    nodes = cut(nodes.select(F.col("a").alias("node"), "id", "n", "prefix", "spread", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")), "prefixes")
+    nodes = cut(nodes.select(F.col("a").alias("node"), "id", "n", "prefix", "spread", *_PARITY, F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")), "prefixes")
     member = nodes.select("node", "n", "p1", "p2").join(nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("g")), ["n", "p1", "p2"])
     member = cut(member.select("node", "g"), "members")
-    lists = nodes.select("node", "n", "prefix").join(member.where("node = g").select("node"), "node", "left_semi").select(F.col("node").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
+    lists = nodes.select("node", "n", "prefix", *_PARITY).join(member.where("node = g").select("node"), "node", "left_semi").select(F.col("node").alias("g"), "n", *_PARITY, F.posexplode("prefix").alias("pos", "token"))
     shared = lists.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("token")
     lists = cut(lists.join(shared, "token"), "lists")
 
-    # round 1: each shingle's groups with its least group, each group's members with its least
-    least_of = lists.groupBy("token").agg(F.min(F.struct("g", "n", "pos")).alias("x"))
-    star = lists.select("token", F.struct("g", "n", "pos").alias("y")).join(least_of, "token").where(F.col("x.g") != F.col("y.g")).where(_may_link("x", "y", p)).select(F.col("x.g").alias("u"), F.col("y.g").alias("v"))
+    # round 1: each group with the group that leads most of its shingles' lists, and each
+    # group's members with its least
+    entry = F.struct("g", "n", "pos", *_PARITY)
+    lead = lists.groupBy("token").agg(F.min(entry).alias("x"))
+    star = lists.select("token", entry.alias("y")).join(lead, "token").where(F.col("x.g") != F.col("y.g")).where(_may_link("x", "y", p))
+    star = star.groupBy(F.col("x.g").alias("u"), F.col("y.g").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    star = star.groupBy("v").agg(F.max(F.struct("c", "u")).alias("m")).select("m.u", "v")
     inner = member.where("node != g").select(F.col("g").alias("u"), F.col("node").alias("v"))
     links = cut(verified(cut(star.union(inner).distinct(), "pairs"), nodes, docs, id_col, text_col, p), "links")
     labels = components(links)
 
-    for last in (False, True):
+    # further rounds: first one entry of each component in a list stands for it and one pair
+    # for two components; at last every pair of members that no link has joined yet
+    turn, last = 0, False
+    while True:
         placed = cut(member.join(labels, "node", "left").select("node", "g", F.coalesce("comp", "node").alias("comp")), "placed")
         units = placed.groupBy("g", "comp").agg(F.min("node").alias("rep"))
         entries = lists.join(units, "g")
         mixed = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "low")
-        entries = cut(entries.join(mixed, "token"), "entries")
+        entries = entries.join(mixed, "token")
+        if not last:
+            first = F.min(F.struct("rep", "g", "n", "pos", *_PARITY)).alias("f")
+            entries = entries.groupBy("token", "low", "comp").agg(first).select("token", "low", "comp", "f.*")
+        entries = cut(entries, "entries")
         # a pair is met from the side outside the shingle's least component: a large
         # component that fills a list isn't paired with itself
         x, y = entries.where("comp != low").alias("x"), entries.alias("y")
@@ -178,13 +196,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = met.join(one, ["gx", "compx"]).join(two, ["gy", "compy"]).select("u", "v").distinct()
         else:
             pairs = met.groupBy(F.least("compx", "compy"), F.greatest("compx", "compy")).agg(F.min(F.struct(F.col("repx").alias("u"), F.col("repy").alias("v"))).alias("m")).select("m.u", "m.v")
-        pairs = cut(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        more = cut(verified(pairs, nodes, docs, id_col, text_col, p), "links")
-        if not more.isEmpty():
+        more = cut(verified(cut(pairs, "pairs"), nodes, docs, id_col, text_col, p), "links")
+        found = not more.isEmpty()
+        if found:
             links = links.union(more)
             labels = components(links)
+        if last:
+            break
+        turn += 1
+        last = not found or turn == 2
 
     known = sets.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     smallest = known.groupBy("comp").agg(F.min("id").alias("c"))
