@@ -29,7 +29,7 @@ from gridloom.llm.base import ByteHash, Piece, pieces, word_spans
 from gridloom.llm.transducer import Transducer, build
 
 #: Bytes of text handled at once: distinct runs are looked up once in each such piece.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -94,7 +94,7 @@ class Encoder:
 
     def split(self, run: bytes) -> list[str | int]:
         """Normalised words of a run of bytes between blanks, and ids of special tokens."""
-        find, special, _ = self._tools()
+        find, special = self._tools()[:2]
         text = run.decode("utf-8", "replace")
         out: list[str | int] = []
         for part in special.split(text) if special and "<" in text else [text]:
@@ -109,39 +109,71 @@ class Encoder:
                 out += find.findall(part)
         return out
 
-    def merge(self, word: str) -> list[int]:
-        """Exact merges of one word, lowest rank first."""
-        v = self.vocabulary
-        letters = self._tools()[2]
-        parts = [letters[b] for b in word.encode("utf-8")]
-        parts[-1] += v.suffix
-        ranks = v.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            a, b = parts[at], parts[at + 1]
-            joined, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    joined.append(a + b)
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
-        return [v.ids[p] for p in parts if p in v.ids]
+    def _tables(self) -> tuple:
+        """Ids of a word's inner and last bytes; merges by pair of ids, ascending, with their
+        rank and result."""
+        if len(self._ready) == 3:
+            v, letters = self.vocabulary, self._ready[2]
+            inner = np.array([v.ids.get(c, -1) for c in letters], np.int64)
+            last = np.array([v.ids.get(c + v.suffix, -1) for c in letters], np.int64)
+            size = len(v.tokens)
+            known = [(v.ids[a] * size + v.ids[b], r, v.ids[a + b]) for (a, b), r in v.ranks.items() if a in v.ids and b in v.ids and a + b in v.ids]
+            table = np.array(sorted(known), np.int64).reshape(-1, 3)
+            self._ready = (*self._ready, (inner, last, table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), size))
+        return self._ready[3]
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merges of all words side by side: ids, and where each word begins.
+
+        Each step merges, in every word that can go on, all places of its pair of lowest rank,
+        from left to right.
+        """
+        self._tools()
+        inner, last, keys, ranks, made, size = self._tables()
+        none = len(keys)
+        length = np.array([len(w) for w in words], np.int64)
+        row = np.repeat(np.arange(len(words)), length)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        tok = inner[raw]
+        end = np.cumsum(length)[length > 0] - 1
+        tok[end] = last[raw[end]]
+        held = tok >= 0
+        tok, row = tok[held], row[held]
+        done_tok, done_row = [], []
+        while len(tok) and none:
+            key = tok[:-1] * size + tok[1:]
+            at = np.minimum(np.searchsorted(keys, key), none - 1)
+            fits = (keys[at] == key) & (row[:-1] == row[1:])
+            rank = np.append(np.where(fits, ranks[at], none), none)
+            start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            count = np.diff(np.append(start, len(row)))
+            best = np.repeat(np.minimum.reduceat(rank, start), count)
+            over = best == none
+            hit = np.flatnonzero((rank == best) & ~over)
+            if len(hit):
+                # in a row of places that overlap, every second one from the left
+                fresh = np.append(True, hit[1:] != hit[:-1] + 1)
+                lead = hit[fresh][np.cumsum(fresh) - 1]
+                hit = hit[(hit - lead) % 2 == 0]
+                tok[hit] = made[at[hit]]
+            keep = ~over
+            keep[hit + 1] = False
+            if over.any():
+                done_tok.append(tok[over])
+                done_row.append(row[over])
+            tok, row = tok[keep], row[keep]
+        done_tok.append(tok)
+        done_row.append(row)
+        row = np.concatenate(done_row)
+        order = np.argsort(row, kind="stable")
+        return np.concatenate(done_tok)[order].astype(np.uint32), np.append(0, np.cumsum(np.bincount(row, minlength=len(words))))
 
 
 class RunTable:
     """Ids of the distinct runs seen so far, in flat arrays. Starts anew when it is full;
     what it holds never changes a result."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, encoder: Encoder, lexicon: Transducer | None):
         self.encoder, self.lexicon = encoder, lexicon
@@ -153,33 +185,49 @@ class RunTable:
         self.offsets = np.zeros(1 << 12, np.int64)
         self.count = 0
 
-    def _add(self, ids: list[int]) -> None:
-        at = int(self.offsets[self.count])
+    def _add(self, runs: list[bytes], ids: np.ndarray, begins: np.ndarray) -> None:
+        at, n = int(self.offsets[self.count]), self.count + len(runs)
         while at + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at : at + len(ids)] = ids
-        self.count += 1
-        if self.count >= len(self.offsets):
+        while n >= len(self.offsets):
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.offsets[self.count] = at + len(ids)
+        self.flat[at : at + len(ids)] = ids
+        self.offsets[self.count : n + 1] = at + begins
+        self.index.update(zip(runs, range(self.count, n)))
+        self.count = n
 
     def entries(self, runs: list[bytes]) -> np.ndarray:
         """Row of each run in the table."""
         if self.count > self.LIMIT:
             self.clear()
         new = [r for r in runs if r not in self.index]
-        split = [self.encoder.split(r) for r in new]
-        words = sorted({w for s in split for w in s if isinstance(w, str)})
-        known: dict[str, list[int]] = {}
-        raw = [w.encode("utf-8") for w in words]
-        rank = self.lexicon.ranks(raw) if self.lexicon else np.full(len(raw), -1)
-        for w, r in zip(words, rank.tolist()):
-            known[w] = self.lexicon.output(r).tolist() if r >= 0 else self.encoder.merge(w)
-        for r, s in zip(new, split):
-            self.index[r] = self.count
-            self._add([i for w in s for i in (known[w] if isinstance(w, str) else (w,))])
+        if new:
+            split = [self.encoder.split(r) for r in new]
+            number: dict[str | int, int] = {}
+            entry = np.array([number.setdefault(w, len(number)) for s in split for w in s], np.int64)
+            first = np.append(0, np.cumsum([len(s) for s in split]))
+            self._add(new, *gather(*self._words(list(number)), entry, first))
         return np.array([self.index[r] for r in runs], np.int64)
 
+    def _words(self, words: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (a number stands for itself), and where each begins."""
+        raw = [w.encode("utf-8") if isinstance(w, str) else b"" for w in words]
+        rank = self.lexicon.ranks(raw) if self.lexicon else np.full(len(raw), -1)
+        todo = np.array([r < 0 and isinstance(w, str) for w, r in zip(words, rank.tolist())], bool)
+        made, begins = self.encoder.merge([raw[i] for i in np.flatnonzero(todo)])
+        special = np.array([w for w in words if not isinstance(w, str)], np.uint32)
+        held = np.asarray(self.lexicon.outputs).astype(np.uint32) if self.lexicon else np.zeros(0, np.uint32)
+        flat = np.concatenate([made, special, held])
+        start, size = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
+        start[todo], size[todo] = begins[:-1], np.diff(begins)
+        own = np.array([not isinstance(w, str) for w in words], bool)
+        start[own] = len(made) + np.arange(len(special))
+        if self.lexicon:
+            found = np.flatnonzero((rank >= 0) & ~own)
+            start[found] = len(made) + len(special) + self.lexicon.offsets[rank[found]]
+            size[found] = self.lexicon.offsets[rank[found] + 1] - self.lexicon.offsets[rank[found]]
+        return flat, np.stack([start, start + size])
+
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the piece's rows, and where each row begins."""
         s, e, first = word_spans(piece)
@@ -192,10 +240,11 @@ class RunTable:
 
 
 def gather(flat: np.ndarray, offsets: np.ndarray, entry: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenates flat[offsets[k]:offsets[k+1]] for each k in entry; and where the groups
-    that begin at entries `first` begin in the result."""
-    begin = offsets[entry]
-    size = offsets[entry + 1] - begin
+    """Concatenates the parts of flat that entries name; and where the groups that begin at
+    entries `first` begin in the result. offsets: where parts begin, one more than parts, or
+    two rows with their begins and ends."""
+    begin, end = (offsets[0][entry], offsets[1][entry]) if offsets.ndim == 2 else (offsets[entry], offsets[entry + 1])
+    size = end - begin
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
     at = np.repeat(begin - (ends - size), size) + np.arange(total)
@@ -216,7 +265,7 @@ def run_counts(docs: DataFrame, text_col: str) -> DataFrame:
                     for a, b, k in zip(s[sample].tolist(), e[sample].tolist(), n.tolist()):
                         w = raw[a:b]
                         seen[w] = seen.get(w, 0) + k
-                if len(seen) > 200_000:
+                if len(seen) > 150_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["run", "n"])
                     seen = {}
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["run", "n"])
@@ -231,7 +280,8 @@ def build_lexicon(docs: DataFrame, encoder: Encoder, text_col: str = "text", siz
     words = sorted({w.encode("utf-8") for r in top for w in encoder.split(bytes(r["run"])) if isinstance(w, str)})
     if not words:
         return None
-    raw = build(words, [encoder.merge(w.decode("utf-8")) for w in words])
+    ids, begins = encoder.merge(words)
+    raw = build(words, [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:])])
     folder = tempfile.mkdtemp(prefix="gridloom-lexicon-")  # on the driver, whose file server hands it out
     atexit.register(shutil.rmtree, folder, True)
     name = f"lexicon-{uuid.uuid4().hex}.fst"
@@ -300,8 +350,8 @@ def decode(encoded: DataFrame, vocabulary_path: str, with_text: bool = True, wit
             ends = np.cumsum(size)
             ids = np.asarray(rows.flatten())
             lo = 0
-            while lo < len(rows):  # about 2^20 ids at a time
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+            while lo < len(rows):  # about 2^18 ids at a time
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), "right")))
                 base = int(ends[lo - 1]) if lo else 0
                 part = ids[base : int(ends[hi - 1])]
                 at = np.append(0, ends[lo:hi] - base)
