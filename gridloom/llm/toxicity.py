@@ -14,6 +14,7 @@ tokens with features, and whole texts of any length are scored exactly.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +27,14 @@ from gridloom.llm.base import Piece, Powers, code_points, letter_table, mix, pie
 
 @dataclass(frozen=True)
 class ToxicParams:
-    """toxic_rows and clean_rows bound the fitting sample (texts of at most max_chars); a
-    quarter of it calibrates the score. threshold: predicted is 1 from this score on."""
-
-    toxic_rows: int = 700
-    clean_rows: int = 1400
-    max_chars: int = 12_000
+    """toxic_rows and clean_rows bound the fitting sample (texts of at most max_chars), whose
+    size is all that the driver holds; a quarter of it calibrates the score, and chain_rows of
+    each class fit the chain. threshold: predicted is 1 from this score on."""
+
+    toxic_rows: int = 600
+    clean_rows: int = 1000
+    chain_rows: int = 250
+    max_chars: int = 8_000
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     max_features: int = 4096
     least_evidence: float = 22.0
@@ -268,11 +271,15 @@ class ToxicModel:
 
 def choose_features(docs: list[list[np.ndarray]], toxic: np.ndarray, p: ToxicParams) -> np.ndarray:
     """Features whose documents are toxic far more often than others, by log-likelihood ratio."""
-    u = [np.unique(np.concatenate(d)) if d else np.zeros(0, np.uint64) for d in docs]
-    keys, inv = np.unique(np.concatenate(u), return_inverse=True)
-    y = np.repeat(toxic, [len(x) for x in u])
-    ones = np.bincount(inv, weights=y, minlength=len(keys))
-    zeros = np.bincount(inv, weights=1 - y, minlength=len(keys))
+    u = [np.unique(np.concatenate(d)) for d in docs]
+    count = []
+    for c in (1, 0):
+        part = [x for x, t in zip(u, toxic) if t == c]
+        count.append(np.unique(np.concatenate(part), return_counts=True) if part else (np.zeros(0, np.uint64), np.zeros(0, int)))
+    del u
+    keys, ones = count[0][0], count[0][1].astype(float)  # a feature of clean documents alone is of no use
+    at = np.minimum(np.searchsorted(count[1][0], keys), max(0, len(count[1][0]) - 1))
+    zeros = np.where(count[1][0][at] == keys, count[1][1][at], 0).astype(float) if len(count[1][0]) else np.zeros(len(keys))
     n1, n0 = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
     n = ones + zeros
     e1, e0 = n * n1 / (n1 + n0), n * n0 / (n1 + n0)
@@ -300,7 +307,7 @@ def fit(sample: list[tuple[int, float, list[np.ndarray]]], p: ToxicParams) -> To
         return np.concatenate(t), np.concatenate(f)
 
     rows = []
-    for i in kept:
+    for i in np.concatenate([kept[toxic[kept] == c][: p.chain_rows] for c in (0, 1)]) if len(kept) else []:
         t, f = found(i)
         lab = np.zeros(len(sample[i][2][0]), np.int8)
         if toxic[i]:
@@ -364,7 +371,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
     parts = []
     for y, v in zip(got.column("y").to_pylist(), got.column("hashes")):
         x = np.asarray(v.values).view(np.uint64)
-        parts.append((y, x, x.tobytes()))
+        parts.append((y, x, hashlib.sha256(x).digest()))
     parts.sort(key=lambda r: (r[0], r[2]))
     parts = [x for i, x in enumerate(parts) if not i or x[2] != parts[i - 1][2]]  # copies count once
     drawn_of = {y: sum(1 for x in parts if x[0] == y) for y in (0, 1)}
