@@ -24,6 +24,7 @@ from gridloom.llm.shingles import fingerprint, shingle_sets
 
 _NO_ID = (1 << 63) - 1
 _PARITY = ["q0", "q1", "q2", "q3"]
+_FIRST = ["f0", "f1", "f2", "f3"]
 
 
 @dataclass(frozen=True)
@@ -105,6 +106,17 @@ def _may_link(x: str, y: str, p: JaccardParams) -> Column:
     return fits & near & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) * (p.up + p.low) >= (n + m) * p.low)
 
 
+def _first_meeting(x: str, y: str) -> Column:
+    """False where the prefixes share a shingle before this one among their first few: the
+    pair was met there. Shingles stand in one order everywhere, so the first of x's few that is
+    among y's few is the first that the sets share at all."""
+    met = F.lit(None).cast("long")
+    for f in reversed(_FIRST):
+        here = F.col(f"{x}.{f}")
+        met = F.when(here.isin(*[F.col(f"{y}.{g}") for g in _FIRST]), here).otherwise(met)
+    return F.coalesce(met, F.col(f"{x}.token")) == F.col(f"{x}.token")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> DataFrame:
     """Those of the pairs (u, v) of nodes whose full sets link.
 
@@ -151,15 +163,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = cut(nodes.select(F.col("a").alias("node"), "id", "n", "prefix", "spread", *_PARITY, F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")), "prefixes")
     member = nodes.select("node", "n", "p1", "p2").join(nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("g")), ["n", "p1", "p2"])
     member = cut(member.select("node", "g"), "members")
-    lists = nodes.select("node", "n", "prefix", *_PARITY).join(member.where("node = g").select("node"), "node", "left_semi").select(F.col("node").alias("g"), "n", *_PARITY, F.posexplode("prefix").alias("pos", "token"))
+    leads = nodes.join(member.where("node = g").select("node"), "node", "left_semi")
+    # what filters need of a group: size, parities and the first shingles of its prefix
+    facts = leads.select(F.col("node").alias("g"), "n", *_PARITY, *[F.get("prefix", F.lit(k)).alias(f) for k, f in enumerate(_FIRST)])
+    facts = cut(facts, "facts")
+    lists = leads.select(F.col("node").alias("g"), F.posexplode("prefix").alias("pos", "token"))
     shared = lists.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("token")
     lists = cut(lists.join(shared, "token"), "lists")
 
     # round 1: each group with the group that leads most of its shingles' lists, and each
     # group's members with its least
     entry = F.struct("g", "n", "pos", *_PARITY)
-    lead = lists.groupBy("token").agg(F.min(entry).alias("x"))
-    star = lists.select("token", entry.alias("y")).join(lead, "token").where(F.col("x.g") != F.col("y.g")).where(_may_link("x", "y", p))
+    known = lists.join(facts, "g").select("token", entry.alias("y"))
+    star = known.join(known.groupBy("token").agg(F.min("y").alias("x")), "token").where(F.col("x.g") != F.col("y.g")).where(_may_link("x", "y", p))
     star = star.groupBy(F.col("x.g").alias("u"), F.col("y.g").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     star = star.groupBy("v").agg(F.max(F.struct("c", "u")).alias("m")).select("m.u", "v")
     inner = member.where("node != g").select(F.col("g").alias("u"), F.col("node").alias("v"))
@@ -172,18 +188,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     while True:
         placed = cut(member.join(labels, "node", "left").select("node", "g", F.coalesce("comp", "node").alias("comp")), "placed")
         units = placed.groupBy("g", "comp").agg(F.min("node").alias("rep"))
-        entries = lists.join(units, "g")
+        entries = lists.join(units.join(facts, "g"), "g")
         mixed = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "low")
         entries = entries.join(mixed, "token")
         if not last:
-            first = F.min(F.struct("rep", "g", "n", "pos", *_PARITY)).alias("f")
+            first = F.min(F.struct("rep", "g", "n", "pos", *_PARITY, *_FIRST)).alias("f")
             entries = entries.groupBy("token", "low", "comp").agg(first).select("token", "low", "comp", "f.*")
         entries = cut(entries, "entries")
         # a pair is met from the side outside the shingle's least component: a large
         # component that fills a list isn't paired with itself
         x, y = entries.where("comp != low").alias("x"), entries.alias("y")
         once = (F.col("y.comp") == F.col("y.low")) | (F.col("x.comp") < F.col("y.comp"))
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link("x", "y", p))
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _first_meeting("x", "y") & _may_link("x", "y", p))
         unit = [F.col(f"{t}.{c}").alias(f"{c}{t}") for t in "xy" for c in ("g", "comp", "rep")]
         met = met.select(*unit).distinct()
         several = units.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("g")
