@@ -237,10 +237,11 @@ def host_of(url: str | None) -> str:
 @dataclass(frozen=True)
 class HtmlParams:
     """paths: how many of a host's paths, by votes, are tried on a page; a path needs
-    least_share of its host's votes."""
+    least_share of its host's votes. salts: parts in which each host's pages meet its paths."""
 
     paths: int = 3
     least_share: float = 0.05
+    salts: int = 32
 
 
 def votes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
@@ -305,4 +306,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(used, pa.string())], ["id", "url", "text", "n_chars", "path"])
 
     placed = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(hosts, f"id {kind}, url string, html string, _host string")
-    return placed.join(winners, "_host", "left").select("id", "url", "html", "paths").mapInArrow(run, f"id {kind}, url string, text string, n_chars long, path string")
+    # a host may hold a third of all pages: they are dealt over parts that each get its paths
+    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("id", "url"), F.lit(p.salts)).cast("int"))
+    winners = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    return placed.join(winners, ["_host", "_salt"], "left").select("id", "url", "html", "paths").mapInArrow(run, f"id {kind}, url string, text string, n_chars long, path string")
