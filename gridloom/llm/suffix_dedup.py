@@ -149,17 +149,18 @@ def _next_round(texts: DataFrame, size: int, sub: int, p: RepeatParams) -> DataF
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
     """Ranks that stand at two positions or more: distinct texts or distinct places in one."""
-    found = rows.groupBy(*keys).agg(F.min("fp").alias("f1"), F.max("fp").alias("f2"), F.min("n").alias("n1"), F.max("n").alias("n2"), F.min("place").alias("a1"), F.max("place").alias("a2"))
-    return found.where("f1 != f2 or n1 != n2 or a1 != a2").select(*keys)
+    found = rows.groupBy(*keys).agg(F.min("position").alias("least"), F.max("position").alias("most"))
+    return found.where("least != most").select(*keys)
 
 
 def _settle(rows: DataFrame, size: int, base: int) -> tuple[DataFrame, DataFrame]:
     """One round on (fp, n, at, core, hull): rows whose hull repeats, and rows for the next
     round: all members of cores that hold a row not settled, one of each hull."""
-    # two anchors can name one place of a text
-    rows = rows.withColumn("place", F.floor(F.col("at") / base) - F.col("at") % base * size)
-    alive = cut(rows.join(_repeated(rows, "core"), "core").distinct(), "alive")  # equal texts meet here
-    done = _repeated(alive.where("hull is not null"), "core", "hull").withColumn("done", F.lit(True))
+    # two anchors can name one place of a text; a position is one number, so that groups ship little
+    place = F.floor(F.col("at") / base) - F.col("at") % base * size
+    placed = rows.withColumn("position", F.xxhash64("fp", "n", place))
+    alive = cut(rows.join(_repeated(placed, "core"), "core").distinct(), "alive")  # equal texts meet here
+    done = _repeated(alive.where("hull is not null").withColumn("position", F.xxhash64("fp", "n", place)), "core", "hull").withColumn("done", F.lit(True))
     known = cut(alive.join(done, ["core", "hull"], "left"), "known")
     passed = known.where("done")
     open_cores = known.where("done is null").select("core").distinct()
