@@ -116,10 +116,8 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v array<double>): no null id, vector or component, all finite, not all zero."""
-    v = F.col(vec_col).cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (
-        df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+        df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         .where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     )

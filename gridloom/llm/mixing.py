@@ -10,6 +10,7 @@ with a third of all rows is never gathered in one task.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,10 +49,8 @@ def _moments(totals: DataFrame, exponents: list[float]) -> list[dict]:
     r = p.agg(F.min("p").alias("least"), F.max("p").alias("most"), F.max("all").alias("all"), *aggs).first()
     out = []
     for i, a in enumerate(exponents):
-        z, l = r[f"z{i}"], r[f"l{i}"]
-        import math
-
-        entropy = math.log(z) - a * l / z
+        z = r[f"z{i}"]
+        entropy = math.log(z) - a * r[f"l{i}"] / z
         out.append({"a": a, "z": z, "entropy": entropy, "least": r["least"], "most": r["most"], "all": r["all"]})
     return out
 
@@ -108,7 +107,8 @@ def _prefix(df: DataFrame, keys: list[str], order: list[str], amount: str, bucke
 
 @dataclass
 class Mixture:
-    """plan: source, block, epoch, key, tokens, taken, slot. rows: the measured documents."""
+    """weights: a row for each source; schedule: each block of each pass that is used, with its
+    place; copies: how often each block is used, and its last document where it is cut."""
 
     exponent: float
     budget: int
@@ -132,11 +132,11 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if (p.target_entropy is None) == (p.max_repeats is None):
         raise ValueError("give either target_entropy or max_repeats")
     items = cut(docs.select(_source(F.col(source_col)).alias("s"), F.col(id_col).cast("string").alias("id"), word_count(F.col(text_col)).alias("tokens")), "mix-items")
-    totals = items.groupBy("s").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    whole = totals.agg(F.sum("tokens").alias("all"))
-    totals = cut(totals.crossJoin(F.broadcast(whole)), "mix-totals")  # whole: one row
-    if not (totals.agg(F.sum("tokens")).first()[0] or 0):
+    totals = cut(items.groupBy("s").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-totals")
+    whole = totals.agg(F.sum("tokens")).first()[0]
+    if not whole:
         return None
+    totals = totals.withColumn("all", F.lit(whole).cast("long"))
     m = solve_exponent(totals, p)
     budget = p.budget
     if budget is None:
@@ -172,7 +172,7 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", params: MixParams | None = None) -> DataFrame:
-    """docs with columns _weight, _block, _copies and _slot put under one struct column `_mix`.
+    """docs with one more column, the struct `_mix` of weight, block, copies and slot.
 
     Every input row comes back once; `_mix.copies` says how often the mixture uses it
     (0 = not within the budget), `_mix.slot` in [0, 1) where its block first stands in the
