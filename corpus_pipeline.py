@@ -40,8 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of ids and of the text they decode to."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(docs, vocabulary)
-    return bpe.decode(encoded, vocabulary, with_text=False, with_ids=True).withColumnRenamed("id", "doc_id")
+    return bpe.round_trip(docs, vocabulary, with_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

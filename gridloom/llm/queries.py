@@ -37,7 +37,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary, with_text=False).withColumnRenamed("id", "doc_id")
+    return bpe.round_trip(docs, vocabulary).withColumnRenamed("id", "doc_id")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,9 @@ def test_bpe_equals_the_library(spark, make_docs, odd_texts):
         r = rows[(i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())]
         text = t.decode(ids, skip_special_tokens=False)
         assert r["ids"] == ids and r["text"] == text and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    once = bpe.round_trip(docs, VOCABULARY, lexicon_size=50, with_ids=True)
+    assert once.columns == names and sorted(map(str, once.collect())) == sorted(map(str, got.select(*names).collect()))
     assert bpe.decode(bpe.encode(docs.where("false"), VOCABULARY), VOCABULARY).count() == 0
 
 
