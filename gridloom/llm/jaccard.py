@@ -4,7 +4,7 @@ Shingles are ordered from rare to frequent (by a sketch of document frequencies
 rows). Two sets that reach the threshold share a shingle within their short prefixes, so
 only prefixes meet in the join. Equal sets are one node; nodes with the same prefix and
 size form a group; group pairs pass a length and a position filter, are expanded to their
-members, and members are verified on full sets. Since only components are asked for,
+members, and members that pass a parity filter are verified on full sets. Since only components are asked for,
 verification goes in rounds: first each prefix shingle's groups against its least one,
 then one pair for each two components that still meet, then whatever is left.
 """
@@ -96,14 +96,25 @@ def measured(docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> D
     return rows.mapInArrow(measure, "id long, n long, a long, b long, prefix array<long>, spread array<int>, q0 long, q1 long, q2 long, q3 long")
 
 
+def _apart(x: str, y: str) -> Column:
+    """In how many parities two sets differ."""
+    return sum((F.bit_count(F.col(f"{x}.{q}").bitwiseXOR(F.col(f"{y}.{q}"))) for q in _PARITY), F.lit(0))
+
+
+def _near(x: str, y: str, p: JaccardParams, slack: Column | None = None) -> Column:
+    """The parity filter, which holds for two sets only: members of a group differ in most
+    shingles. slack: by how much sets that x and y stand for may be nearer than x and y."""
+    apart = _apart(x, y) if slack is None else _apart(x, y) - slack
+    return apart * (p.up + p.low) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (p.up - p.low)
+
+
 def _may_link(x: str, y: str, p: JaccardParams) -> Column:
-    """What linked pairs pass: the length filter; the parity filter; and, at the first shingle
-    that both prefixes hold, the position filter (x.pos and y.pos are its places)."""
+    """What linked pairs pass, and so what pairs of groups pass that hold any: the length
+    filter; and, at the first shingle that both prefixes hold, the position filter (x.pos and
+    y.pos are its places)."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     fits = F.least(n, m) * p.up >= F.greatest(n, m) * p.low
-    apart = sum((F.bit_count(F.col(f"{x}.{q}").bitwiseXOR(F.col(f"{y}.{q}"))) for q in _PARITY), F.lit(0))
-    near = apart * (p.up + p.low) <= (n + m) * (p.up - p.low)
-    return fits & near & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) * (p.up + p.low) >= (n + m) * p.low)
+    return fits & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) * (p.up + p.low) >= (n + m) * p.low)
 
 
 def _first_meeting(x: str, y: str) -> Column:
@@ -161,21 +172,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = next(n for n in range(1, 1 << 20) if p.up * n >= p.low * (n + 1))
     nodes = base.where(F.col("n") >= least).join(sets, ["n", "a", "b", "id"], "left_semi").dropDuplicates(["a"])
     nodes = cut(nodes.select(F.col("a").alias("node"), "id", "n", "prefix", "spread", *_PARITY, F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")), "prefixes")
-    member = nodes.select("node", "n", "p1", "p2").join(nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("g")), ["n", "p1", "p2"])
-    member = cut(member.select("node", "g"), "members")
+    member = nodes.select("node", "n", "p1", "p2", *_PARITY).join(nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("g")), ["n", "p1", "p2"])
+    member = cut(member.select("node", "g", "n", *_PARITY), "members")
     leads = nodes.join(member.where("node = g").select("node"), "node", "left_semi")
-    # what filters need of a group: size, parities and the first shingles of its prefix
+    # what filters need of a group: size and the first shingles of its prefix, which all of its
+    # members have, and its lead's parities, which no other member need have
     facts = leads.select(F.col("node").alias("g"), "n", *_PARITY, *[F.get("prefix", F.lit(k)).alias(f) for k, f in enumerate(_FIRST)])
     facts = cut(facts, "facts")
     lists = leads.select(F.col("node").alias("g"), F.posexplode("prefix").alias("pos", "token"))
     shared = lists.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("token")
     lists = cut(lists.join(shared, "token"), "lists")
 
-    # round 1: each group with the group that leads most of its shingles' lists, and each
-    # group's members with its least
+    # round 1: each group with the group that leads most of its shingles' lists, lead with lead,
+    # and each group's members with its least
     entry = F.struct("g", "n", "pos", *_PARITY)
     known = lists.join(facts, "g").select("token", entry.alias("y"))
-    star = known.join(known.groupBy("token").agg(F.min("y").alias("x")), "token").where(F.col("x.g") != F.col("y.g")).where(_may_link("x", "y", p))
+    star = known.join(known.groupBy("token").agg(F.min("y").alias("x")), "token").where(F.col("x.g") != F.col("y.g")).where(_may_link("x", "y", p) & _near("x", "y", p))
     star = star.groupBy(F.col("x.g").alias("u"), F.col("y.g").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     star = star.groupBy("v").agg(F.max(F.struct("c", "u")).alias("m")).select("m.u", "v")
     inner = member.where("node != g").select(F.col("g").alias("u"), F.col("node").alias("v"))
@@ -183,23 +195,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
 
     # further rounds: first one entry of each component in a list stands for it and one pair
-    # for two components; at last every pair of members that no link has joined yet
+    # for two components; at last every pair of members that no link has joined yet. A unit
+    # has the parities of its rep, and `away` is how far any other member that it stands for is
     turn, last = 0, False
     while True:
-        placed = cut(member.join(labels, "node", "left").select("node", "g", F.coalesce("comp", "node").alias("comp")), "placed")
-        units = placed.groupBy("g", "comp").agg(F.min("node").alias("rep"))
-        entries = lists.join(units.join(facts, "g"), "g")
+        placed = cut(member.join(labels, "node", "left").select("node", "g", "n", *_PARITY, F.coalesce("comp", "node").alias("comp")), "placed")
+        units = placed.groupBy("g", "comp").agg(F.min(F.struct(F.col("node").alias("rep"), *_PARITY)).alias("r")).select("g", "comp", "r.*")
+        if last:
+            apart = placed.alias("x").join(units.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") == F.col("y.comp")))
+            away = apart.groupBy("y.g", "y.comp").agg(F.max(_apart("x", "y")).alias("away"))
+            units = cut(units.join(away, ["g", "comp"]), "units")
+        else:
+            units = units.withColumn("away", F.lit(0))  # only reps are paired
+        entries = lists.join(units.join(facts.drop(*_PARITY), "g"), "g")
         mixed = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "low")
         entries = entries.join(mixed, "token")
         if not last:
-            first = F.min(F.struct("rep", "g", "n", "pos", *_PARITY, *_FIRST)).alias("f")
+            first = F.min(F.struct("rep", "g", "n", "pos", "away", *_PARITY, *_FIRST)).alias("f")
             entries = entries.groupBy("token", "low", "comp").agg(first).select("token", "low", "comp", "f.*")
         entries = cut(entries, "entries")
         # a pair is met from the side outside the shingle's least component: a large
         # component that fills a list isn't paired with itself
         x, y = entries.where("comp != low").alias("x"), entries.alias("y")
         once = (F.col("y.comp") == F.col("y.low")) | (F.col("x.comp") < F.col("y.comp"))
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _first_meeting("x", "y") & _may_link("x", "y", p))
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _first_meeting("x", "y") & _may_link("x", "y", p) & _near("x", "y", p, F.col("x.away") + F.col("y.away")))
         unit = [F.col(f"{t}.{c}").alias(f"{c}{t}") for t in "xy" for c in ("g", "comp", "rep")]
         met = met.select(*unit).distinct()
         several = units.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("g")
@@ -207,9 +226,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         inside = inside.alias("x").join(inside.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") < F.col("y.comp"))).select(*unit)
         met = met.union(inside)
         if last:
-            one = placed.select(F.col("g").alias("gx"), F.col("comp").alias("compx"), F.col("node").alias("u"))
-            two = placed.select(F.col("g").alias("gy"), F.col("comp").alias("compy"), F.col("node").alias("v"))
-            pairs = met.join(one, ["gx", "compx"]).join(two, ["gy", "compy"]).select("u", "v").distinct()
+            one, two = placed.alias("one"), placed.alias("two")
+            pairs = met.join(one, (F.col("gx") == F.col("one.g")) & (F.col("compx") == F.col("one.comp"))).join(two, (F.col("gy") == F.col("two.g")) & (F.col("compy") == F.col("two.comp")))
+            pairs = pairs.where(_near("one", "two", p)).select(F.col("one.node").alias("u"), F.col("two.node").alias("v")).distinct()
         else:
             pairs = met.groupBy(F.least("compx", "compy"), F.greatest("compx", "compy")).agg(F.min(F.struct(F.col("repx").alias("u"), F.col("repy").alias("v"))).alias("m")).select("m.u", "m.v")
         more = cut(verified(cut(pairs, "pairs"), nodes, docs, id_col, text_col, p), "links")

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -51,6 +52,46 @@ def test_jaccard_components(make_docs, near_copies):
     assert sorted(tuple(r) for r in got) == sorted(jaccard.brute_force(near_copies, 5, 100, 80))
 
 
+def test_members_link_where_leads_do_not(make_docs):
+    """Sets of one size with one prefix from a shared passage, but with other rests: the groups'
+    leads link with nothing, their other members do."""
+    rng = random.Random(11)
+    words = [a + b + c for a in EN for b in ("", "s", "ing", "ed") for c in ("", "a", "o", "i")]
+    p = jaccard.JaccardParams(sketch_bits=2)  # few buckets: all shingles are equally frequent
+
+    def sets(texts):
+        (piece,) = jaccard.pieces(pa.array(texts), 1 << 30)
+        return jaccard.shingle_sets(piece, p.size)
+
+    def some(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    passage, top = min((([*w], x.max()) for w, x in ((w, sets([" ".join(w)])[0]) for w in (some(5) for _ in range(3000)))), key=lambda t: t[1])
+    texts = [" ".join(passage + some(17)) for _ in range(6000)]
+    texts = [t for t, x in zip(texts, sets(texts)) if len(x) == 20 and x[2] == top][:20]
+    longer = [f"{t} {w}" for t in texts for w in words]
+    grown = {}
+    for t, x in zip(longer, sets(longer)):
+        if len(x) == 21 and x[2] == top:
+            grown.setdefault(t.rsplit(" ", 1)[0], t)
+    texts = sorted(grown, key=lambda t: jaccard.fingerprint(sets([t])[0])[0])
+    twins = sorted(texts, key=lambda t: jaccard.fingerprint(sets([grown[t]])[0])[0])
+    # the leads: one of 20 shingles, one of 21 that isn't its copy
+    first, other = texts[0], next(t for t in twins if t != texts[0])
+    both = next(t for t in texts if t not in (first, other) and jaccard.fingerprint(sets([grown[t]])[0])[0] > jaccard.fingerprint(sets([grown[other]])[0])[0])
+    rows = list(enumerate([first, both, grown[both], grown[other]]))
+    want = sorted(jaccard.brute_force(rows))
+    assert [w[2] for w in want] == [0, 1, 1, 3]
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(make_docs(rows), params=p).collect()) == want
+    # a rep that doesn't link stands for a member that does
+    chain = [(100 + k, t) for k, t in enumerate(texts[:8])] + [(200 + k, grown[t]) for k, t in enumerate(texts[:8]) if k % 2]
+    for k, t in enumerate(texts[:8]):
+        chain += [(300 + 20 * k + j, " ".join(t.split()[:-1] + [w])) for j, w in enumerate(some(6))]
+        chain += [(500 + 20 * k + j, " ".join(t.split()[:-1] + [w] + some(1))) for j, w in enumerate(some(6))]
+    got = jaccard.jaccard_components(make_docs(chain), params=p).collect()
+    assert sorted(tuple(r) for r in got) == sorted(jaccard.brute_force(chain))
+
+
 def test_one_of_each(make_docs, near_copies):
     docs = make_docs(near_copies)
     kept = jaccard.one_of_each(docs)
