@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe, toxicity
 from gridloom.llm.base import cut, read, split_of
-from gridloom.llm.jaccard import one_of_each
+from gridloom.llm.jaccard import JaccardParams, one_of_each
 from gridloom.llm.mixing import mixed, repeat_rows
 from gridloom.llm.suffix_dedup import without_repeats
 
+#: Near copies share four fifths of their five-word shingles; op5 has thresholds of its own.
+NEAR = JaccardParams(size=5, low=80)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger rejects go; labels of split 2 stay unseen."""
@@ -24,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    return one_of_each(docs)
+    return one_of_each(docs, params=NEAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,6 +103,14 @@ def test_one_of_each(make_docs, near_copies):
     assert sorted(r["text"] for r in again.collect()) == sorted(["some words that stand alone", text, "other words that stand alone"])
 
 
+def test_near_copies_stage(spark, make_docs, near_copies):
+    base = [f"w{i}" for i in range(100)]
+    rows = [*near_copies, (1000, " ".join(base)), (1001, " ".join([*base, *(f"x{i}" for i in range(15))]))]
+    want = {k for k, _, c in jaccard.brute_force(rows, 5, 100, 80) if k == c}
+    assert 1001 not in want and 1001 in {k for k, _, c in jaccard.brute_force(rows) if k == c}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, make_docs(rows), "").collect()) == sorted(want)
+
+
 def test_components_of_chains(spark):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
