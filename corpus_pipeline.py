@@ -13,7 +13,7 @@ from gridloom.llm import bpe, toxicity
 from gridloom.llm.base import cut, read, split_of
 from gridloom.llm.jaccard import JaccardParams, one_of_each
 from gridloom.llm.mixing import mixed, repeat_rows
-from gridloom.llm.suffix_dedup import without_repeats
+from gridloom.llm.suffix_dedup import WORDS_51, without_repeats
 
 #: Near copies share four fifths of their five-word shingles; op5 has thresholds of its own.
 NEAR = JaccardParams(size=5, low=80)
@@ -31,8 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long repeated passages leave the texts; every document stays."""
-    return without_repeats(docs)
+    """Repeated passages of over 50 words, or of 400 bytes, leave the texts; every document stays."""
+    return without_repeats(docs, words=WORDS_51)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.base import ByteHash, cut, pieces
+from gridloom.llm.base import ByteHash, Piece, cut, pieces, word_spans
 
 _NO_ID = (1 << 63) - 1
+#: Passages can be counted in words: a text's words as codes of 8 ASCII bytes (48 bits) each.
+CODE = 8
+_LETTERS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", np.uint8)
 
 
 @dataclass(frozen=True)
@@ -42,6 +45,38 @@ class RepeatParams:
     cells: tuple[int, ...] = (128, 16, 1)
 
 
+#: Runs of 51 words, to be found in codes.
+WORDS_51 = RepeatParams(threshold=51 * CODE, gram=25)
+
+
+def _word_codes(piece: Piece) -> list[bytes]:
+    """For each row, its words' codes without anything between."""
+    s, e, first = word_spans(piece)
+    h = ByteHash(piece.data).of(s, e) if len(s) else np.zeros(0, np.uint64)
+    codes = _LETTERS[((h[:, None] >> (6 * np.arange(CODE)).astype(np.uint64)) & np.uint64(63)).astype(np.int64)].tobytes()
+    return [codes[CODE * a : CODE * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) with codes of words as texts."""
+
+    def code(batches):
+        for batch in batches:
+            for piece in pieces(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array([c.decode("ascii") for c in _word_codes(piece)], pa.string())], ["id", "text"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(code, "id long, text string")
+
+
+def _spans_of_words(raw: bytes, spans: list) -> list:
+    """Spans in a text's codes as spans in the text; blanks go with the word before them."""
+    s, e, _ = word_spans(Piece(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+    begin, out = np.append(s, e[-1:]), []
+    for x, y in zip(*_union(spans)):
+        out.append({"s": int(begin[-(-x // CODE)]), "e": int(begin[y // CODE])})
+    return out
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, sums: ByteHash, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window) of each run of windows with one anchor, as
     positions in data; windows never cross rows."""
@@ -175,9 +210,9 @@ def _spans(rows: DataFrame, size: int, base: int, p: RepeatParams) -> DataFrame:
     return rows.select("fp", "n", (a - cell * size - size + 1).cast("long").alias("s"), (a - cell * size + p.threshold).cast("long").alias("e"))
 
 
-def _union(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+def _union(spans: list) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the maximal runs that a list of spans covers."""
-    s = np.array([[x["s"], x["e"]] for x in spans.as_py()], np.int64).reshape(-1, 2)
+    s = np.array([[x["s"], x["e"]] for x in spans], np.int64).reshape(-1, 2)
     s = s[np.argsort(s[:, 0], kind="stable")]
     top = np.maximum.accumulate(s[:, 1])
     new = np.append(True, s[1:, 0] > top[:-1])
@@ -192,7 +227,7 @@ def _removal(texts: DataFrame) -> DataFrame:
             removed, count, sha = [], [], []
             for text, spans in zip(batch.column(2), batch.column(3)):
                 raw = text.as_buffer() if text.is_valid else b""
-                starts, ends = _union(spans)
+                starts, ends = _union(spans.as_py())
                 h, at = hashlib.sha256(), 0
                 view = memoryview(raw)
                 for x, y in zip(starts.tolist(), ends.tolist()):
@@ -278,35 +313,49 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", params: RepeatParams | None = None) -> DataFrame:
-    """docs with repeated bytes taken out of the text, all rows and columns kept.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", params: RepeatParams | None = None, words: RepeatParams | None = None) -> DataFrame:
+    """docs with repeated bytes taken out of the text, all rows and columns kept. With words,
+    such as WORDS_51, runs of words go too that repeat at another place, whatever their bytes
+    and the blanks between them; both are judged on the input.
 
     A character goes only if all its bytes do, so texts stay valid UTF-8. length_col, where
     docs has it, becomes the new number of characters of changed texts; a text that repeats
     as a whole becomes empty, a null one stays null.
     """
-    found, _ = find_repeats(docs, id_col, text_col, params)
-    whole = found.rows.where("whole").select(F.col("fp").alias("_fp"), F.col("n").alias("_n")).distinct().select("_fp", "_n", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("_n").alias("e"))).alias("_spans"))
-    spans = found.spans.select(F.col("fp").alias("_fp"), F.col("n").alias("_n"), F.col("spans").alias("_spans")).union(whole)
+
+    def spans_of(found: Repeats, *to: str) -> DataFrame:
+        whole = found.rows.where("whole").select("fp", "n").distinct().select("fp", "n", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))))
+        return found.spans.select("fp", "n", "spans").union(whole).toDF(*to)
+
+    spans = spans_of(find_repeats(docs, id_col, text_col, params)[0], "_fp", "_n", "_spans")
+    runs = None
+    if words:
+        codes = cut(coded(docs, id_col, text_col), "codes")
+        runs = spans_of(find_repeats(codes, "id", "text", words)[0], "_wfp", "_wn", "_runs")
     names = docs.columns
     at = names.index(text_col)
-    key = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_n", T.LongType())])
+    key = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_wfp", T.LongType()), T.StructField("_wn", T.LongType())])
 
     def mark(batches):
         for batch in batches:
             raw = [x.as_buffer() if x.is_valid else b"" for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_text_key(x)[1] for x in raw], pa.int64()), pa.array([len(x) for x in raw], pa.int64())], names=[*names, "_fp", "_n"])
+            code = [c for piece in pieces(batch.column(at)) for c in _word_codes(piece)] if words else [b""] * len(raw)
+            keys = [pa.array(x, pa.int64()) for t in (raw, code) for x in ([_text_key(c)[1] for c in t], [len(c) for c in t])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[*names, "_fp", "_n", "_wfp", "_wn"])
 
-    marked = docs.mapInArrow(mark, key).join(spans, ["_fp", "_n"], "left").select(*[F.col(f"`{c}`") for c in names], "_spans")
+    marked = docs.mapInArrow(mark, key).join(spans, ["_fp", "_n"], "left")
+    marked = marked.join(runs, ["_wfp", "_wn"], "left") if words else marked.withColumn("_runs", F.lit(None).cast(spans.schema["_spans"].dataType))
+    marked = marked.select(*[F.col(f"`{c}`") for c in names], "_spans", "_runs")
     length = names.index(length_col) if length_col in names else -1
 
     def apply(batches):
         for batch in batches:
             texts, sizes = batch.column(at).to_pylist(), batch.column(length).to_pylist() if length >= 0 else None
-            for k, spans in enumerate(batch.column(len(names))):
-                if spans.is_valid and texts[k]:
+            for k, (spans, runs) in enumerate(zip(batch.column(len(names)), batch.column(len(names) + 1))):
+                if (spans.is_valid or runs.is_valid) and texts[k]:
                     raw, parts, left = texts[k].encode("utf-8"), [], 0
-                    for x, y in zip(*(v.tolist() for v in _union(spans))):
+                    gone = (spans.as_py() or []) + (_spans_of_words(raw, runs.as_py()) if runs.is_valid else [])
+                    for x, y in zip(*(v.tolist() for v in _union(gone))):
                         while x < y and raw[x] & 0xC0 == 0x80:
                             x += 1
                         while y < len(raw) and y > x and raw[y] & 0xC0 == 0x80:

@@ -166,6 +166,27 @@ def test_without_repeats(make_docs, repeats):
             assert n - removed <= len(out[k]["text"].encode()) <= n - removed + 8
 
 
+def test_repeats_stage_counts_words(spark, make_docs):
+    rng = random.Random(5)
+
+    def some(n):
+        return [f"{rng.randrange(10**4):04d}" for _ in range(n)]
+
+    short, exact, tiny = some(50), some(51), [rng.choice("abcdefgh") for _ in range(51)]
+    wide = [f"{rng.randrange(10**18):018d}" for _ in range(25)]  # 474 bytes in few words
+    lists = [[*some(9), *p, *some(9)] for p in (short, exact, tiny, wide) for _ in range(2)] + [tiny, some(60)]
+    rows = [(k, " ".join(x)) for k, x in enumerate(lists)] + [(20, None), (21, " \n"), (22, "  \n ".join(["é", *exact, "ü"]))]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, make_docs(rows), "").collect()}
+    assert len(got) == len(rows) and got[20] is None and got[21] == " \n"
+    for k, x in enumerate(lists[:8]):
+        if k < 2:
+            assert got[k] == " ".join(x)
+        elif k < 6:
+            assert got[k].split() == x[:9] + x[-9:]
+        else:
+            assert len(got[k]) < 110 and wide[12] not in got[k]
+    assert got[8] == "" and got[9] == rows[9][1] and got[22].split() == ["é", "ü"]
+
 
 def test_mixing_meets_the_repetition_limit(make_docs):
     rng = random.Random(1)
