@@ -35,7 +35,9 @@ TEXT_WORDS = frozenset("article body content entry main post story text".split()
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 STOPS = frozenset("ul ol dl table select".split())
 
+#: The bound only keeps the usual tag in the pattern: what it leaves goes through _tag_end.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]{0,8192}"|'[^']{0,8192}'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
+_MARK = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NUMBER = re.compile(r"\d+")
@@ -86,6 +88,24 @@ def _open(page: Page, parent: int, tag: str, raw: str) -> int:
     return len(page.nodes) - 1
 
 
+def _tag_end(source: str, at: int, dead: set[int]) -> int:
+    """Where the `>` stands that ends a tag, outside quotes; -1 if a quote or the tag never
+    closes. dead: opening quotes from which no end is reached, so that none is tried twice."""
+    tried = []
+    while m := _MARK.search(source, at):
+        at = m.start()
+        if m[0] == ">":
+            return at
+        if at in dead:
+            break
+        tried.append(at)
+        at = source.find(m[0], at + 1) + 1
+        if not at:
+            break
+    dead.update(tried)
+    return -1
+
+
 def parse(source: str) -> Page:
     """Reads markup as browsers roughly do: unclosed and stray tags are put up with, an
     incomplete tag at the end is dropped, character references stay for later."""
@@ -93,6 +113,7 @@ def parse(source: str) -> Page:
     stack = [_open(page, -1, "#root", "")]
     page.nodes[0].path = ""
     at, n, lowered = 0, len(source), None
+    dead: set[int] = set()
 
     def block() -> None:
         page.runs.append((stack[-1], None))
@@ -114,7 +135,10 @@ def parse(source: str) -> Page:
             page.runs.append((stack[-1], source[at:end]))
         if not m:
             break
-        at = m.end()
+        at, end = m.end(), -1
+        if m[5]:
+            end = _tag_end(source, m.end(5), dead)
+            at = end + 1 or at
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -132,7 +156,7 @@ def parse(source: str) -> Page:
                 close(tag, frozenset())
                 block()
             continue
-        raw = m[3] if m[2] else m[6]
+        raw = m[3] if m[2] else m[6] if end < 0 else source[m.end(5) : end]
         if tag in RAW:
             if not raw.endswith("/") or tag in ("script", "style", "title", "textarea"):
                 lowered = source.lower() if lowered is None else lowered

@@ -281,6 +281,19 @@ def test_extraction(page):
     assert html_extract.text_of(parsed, [html_extract.score(parsed)]) == WANT
 
 
+@pytest.mark.parametrize("quote", "\"'")
+def test_long_attribute_values(quote):
+    inner = "<script> <!-- > stray words "
+    for n in (100, 8192, 8193, 300_000):
+        value = (inner * (n // len(inner) + 1))[:n]
+        page = f"<body><article><h1>Title one</h1><div data-x={quote}{value}{quote} data-y='>'></div data-z={quote}{value}{quote}>{ARTICLE}</article>"
+        parsed = html_extract.parse(page)
+        assert html_extract.text_of(parsed, [html_extract.score(parsed)]) == WANT, n
+    # a quote that never closes: the tag ends at its first >
+    parsed = html_extract.parse(f"<body><article><h1>Title one</h1><div data-x={quote}a>{ARTICLE}</div></article>")
+    assert html_extract.text_of(parsed, [html_extract.score(parsed)]) == WANT
+
+
 def test_consensus_paths(spark):
     good = f"<body><div class=wrap><div class='post-1'><h1>Title one</h1>{ARTICLE * 3}</div><div class=more><p>short words here</div></div>"
     thin = "<body><div class=wrap><div class='post-77'><p>Only this.</div><div class=more><p>" + "these words are longer than the post on this one page " * 5 + "</div></div>"
