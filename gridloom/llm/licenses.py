@@ -42,6 +42,7 @@ class LicenseParams:
 
     gram: int = 3
     window: int = 4
+    short: int = 12  # templates of fewer words keep every fingerprint
     band: int = 6
     least: float = 0.6
 
@@ -104,7 +105,9 @@ class TemplateIndex:
             _, _, w, _, runs = _hashed(Piece(0, 1, raw, np.array([0, len(raw)])), p.gram)
             if len(w) < p.gram:
                 raise ValueError(f"template {name} has fewer than {p.gram} words")
-            for at in winnow(runs[: len(w) - p.gram + 1], p.window):
+            runs = runs[: len(w) - p.gram + 1]
+            # winnowing vouches for long unchanged runs only, which a short template may lack
+            for at in range(len(runs)) if len(w) < p.short else winnow(runs, p.window):
                 found[int(runs[at])].append((len(names), at))
             names.append(name)
             words.append(w.tolist())

@@ -247,3 +247,10 @@ def test_pieces_cover_rows():
     for limit in (1, 3, 8, 1000):
         got = [p.row(k).decode() for p in pieces(pa.array(texts).slice(3), limit) for k in range(len(p))]
         assert got == [t or "" for t in texts[3:]]
+
+
+def test_reworded_short_notices(make_docs):
+    words = licenses.TEMPLATES["mit-notice"].split()
+    rows = [(k, " ".join(["before", *(words[:k] + ["reworded"] + words[k + 1 :]), "after"])) for k in (0, 1, 3, 4)]
+    got = {r["id"]: r["matched"] for r in licenses.scan(make_docs(rows)).collect() if r["license"] == "mit-notice"}
+    assert len(words) == 5 and got == dict.fromkeys((0, 1, 3, 4), 4)
