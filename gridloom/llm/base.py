@@ -4,14 +4,19 @@ bounded text pieces, and vectorised hashing of bytes and words."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import re
+import shutil
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,36 +28,87 @@ PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local master gets a
+    temporary folder of its own; a cluster raises ValueError, as its machines share none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     own = getattr(spark.sparkContext, "_gridloom_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="gridloom-checkpoint-")
+        atexit.register(shutil.rmtree, own, True)
         spark.sparkContext._gridloom_dir = own
     return own
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_TABLES: dict[str, tuple] = {}
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a DataFrame to the shared folder as Parquet and read it back.
 
     The lineage ends at replicated files, so a lost executor never recomputes what
-    stands before; the files go when the application ends.
+    stands before, and the shuffle files behind the write go with it. drop() deletes the
+    table once its readers are done; what is left goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _TABLES[path] = (where, spark.sparkContext._jsc.hadoopConfiguration())
+    if len(_TABLES) == 1:
+        atexit.register(_remove_all)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gridloom_path = path
+    return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jsc = spark.sparkContext._jsc
-    if jsc is None or jsc.sc().isStopped():
-        return
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by cut(). Nothing may read them any more, not even lazily."""
+    for t in tables:
+        _remove(t._gridloom_path)
+
+
+def _remove(path: str) -> None:
+    where, conf = _TABLES.pop(path, (None, None))
+    if where is not None:
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may have gone first
+            where.getFileSystem(conf).delete(where, True)
+
+
+def _remove_all() -> None:
+    """What is still there at exit, whether or not the session was stopped before."""
+    for path in list(_TABLES):
+        _remove(path)
+
+
+def arrow(rows: DataFrame, function: Callable, schema: object) -> DataFrame:
+    """rows.mapInArrow, but each task hands freed memory back to the system when it ends:
+    worker processes outlive tasks and would keep the most that any task has held."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            ByteHash.shrink()
+            pa.default_memory_pool().release_unused()
+            trim()
+
+    return rows.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Gives the C allocator's free pages back, where that is glibc's."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -162,6 +218,13 @@ class ByteHash:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self._tables[seed][data] * self.p.up[: len(data)], out=self.sums[1:])
 
+    @classmethod
+    def shrink(cls, keep: int = PIECE_BYTES) -> None:
+        """Drops powers that only very long pieces needed."""
+        for seed, p in list(cls._powers.items()):
+            if len(p.up) > 2 * keep:
+                cls._powers[seed] = Powers(p.base)
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of data[s:e] for each pair; equal bytes give equal values."""
         return mix((self.sums[ends] - self.sums[starts]) * self.p.down[starts] + (ends - starts).astype(np.uint64))

@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import ByteHash, Piece, pieces, word_spans
+from gridloom.llm.base import ByteHash, Piece, pieces, word_spans, arrow
 from gridloom.llm.transducer import Transducer, build
 
 #: Bytes of text handled at once: distinct runs are looked up once in each such piece.
@@ -271,7 +271,7 @@ def run_counts(docs: DataFrame, text_col: str) -> DataFrame:
                     seen = {}
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["run", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "run binary, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return arrow(docs.select(F.col(text_col).cast("string")), count, "run binary, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, encoder: Encoder, text_col: str = "text", size: int = 30_000) -> str | None:
@@ -310,7 +310,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                 ids, at = table.encode(piece)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["id", "ids"])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>")
+    return arrow(docs.select(id_col, F.col(text_col).cast("string")), run, f"id {kind}, ids array<int>")
 
 
 _TABLES: dict[str, RunTable] = {}
@@ -379,7 +379,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, with_text: bool = True, wit
             for lo, hi, cols in _digests(decoder.value, np.asarray(rows.flatten()), at, with_text):
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *cols, *[rows.slice(lo, hi - lo)] * with_ids], names)
 
-    return encoded.select("id", "ids").mapInArrow(run, _schema(encoded.schema["id"].dataType.simpleString(), with_text, with_ids))
+    return arrow(encoded.select("id", "ids"), run, _schema(encoded.schema["id"].dataType.simpleString(), with_text, with_ids))
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_size: int = 30_000, with_ids: bool = False) -> DataFrame:
@@ -400,4 +400,4 @@ def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
                 for lo, hi, cols in _digests(decoder, ids, at, False):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo + lo, hi - lo), *cols, *[x.slice(lo, hi - lo) for x in lists]], names)
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, _schema(docs.schema[id_col].dataType.simpleString(), False, with_ids))
+    return arrow(docs.select(id_col, F.col(text_col).cast("string")), run, _schema(docs.schema[id_col].dataType.simpleString(), False, with_ids))

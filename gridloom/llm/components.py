@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut
+from gridloom.llm.base import cut, drop
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -16,33 +16,28 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, rounds: int = 40, few: int = 200_000) -> DataFrame:
+def components(edges: DataFrame, part_rows: int = 200_000) -> DataFrame:
     """(node, comp) of every node that isn't the least of its component; comp is that least node.
 
-    edges: columns u and v of one orderable type; loops and repeats do no harm. Neighbours
-    are reduced by a grouped minimum and a join, so no task gathers a hub's edges. Each
-    round's edges are written to the shared folder. Up to `few` edges lie in one partition,
-    where the same steps need no shuffle.
+    edges: columns u and v of one orderable type; loops and repeats do no harm, and an empty
+    table gives no rows. Neighbours are reduced by a grouped minimum and a join, so no task
+    gathers a hub's edges. Each round's edges are written to the shared folder and read in
+    parts of about part_rows; rounds go on until none changes an edge.
     """
     e = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _mark(e)
-    if not before[0]:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    for _ in range(rounds):
-        if before[0] <= few:
-            e = e.coalesce(1)
-        d = _directed(e)
-        if before[0] <= few:
-            d = d.coalesce(1)
+    while before[0]:
+        parts = -(-before[0] // part_rows)
+        near = e.coalesce(parts)
+        d = _directed(near).coalesce(parts)
         least = d.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = d.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        if before[0] <= few:
-            small = small.coalesce(1)
-        e = cut(small.where(F.col("u") != F.col("v")).distinct(), "edges")
-        after = _mark(e)
-        if after == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = after
-    raise RuntimeError("components did not settle")
+        after = cut(small.coalesce(parts).where(F.col("u") != F.col("v")).distinct(), "edges")
+        drop(e)
+        e, mark = after, _mark(after)
+        if mark == before:
+            break
+        before = mark
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))

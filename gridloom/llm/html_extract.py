@@ -283,7 +283,7 @@ def votes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                     size.append(page.nodes[best].size)
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(size, pa.int64())], ["host", "path", "size"])
 
-    return pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(vote, "host string, path string, size long")
+    return arrow(pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")), vote, "host string, path string, size long")
 
 
 def winning_paths(ballots: DataFrame, p: HtmlParams) -> DataFrame:
@@ -329,8 +329,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 used.append(path if got else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(used, pa.string())], ["id", "url", "text", "n_chars", "path"])
 
-    placed = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(hosts, f"id {kind}, url string, html string, _host string")
+    placed = arrow(pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html")), hosts, f"id {kind}, url string, html string, _host string")
     # a host may hold a third of all pages: they are dealt over parts that each get its paths
     placed = placed.withColumn("_salt", F.pmod(F.xxhash64("id", "url"), F.lit(p.salts)).cast("int"))
     winners = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
-    return placed.join(winners, ["_host", "_salt"], "left").select("id", "url", "html", "paths").mapInArrow(run, f"id {kind}, url string, text string, n_chars long, path string")
+    return arrow(placed.join(winners, ["_host", "_salt"], "left").select("id", "url", "html", "paths"), run, f"id {kind}, url string, text string, n_chars long, path string")

@@ -4,9 +4,10 @@ Shingles are ordered from rare to frequent (by a sketch of document frequencies
 rows). Two sets that reach the threshold share a shingle within their short prefixes, so
 only prefixes meet in the join. Equal sets are one node; nodes with the same prefix and
 size form a group; group pairs pass a length and a position filter, are expanded to their
-members, and members that pass a parity filter are verified on full sets. Since only components are asked for,
-verification goes in rounds: first each prefix shingle's groups against its least one,
-then one pair for each two components that still meet, then whatever is left.
+members, and members that pass a parity filter are verified on full sets. Since only
+components are asked for, verification goes in rounds: in the first ones, each prefix
+shingle's groups of about one size meet one of them, and what links is contracted; the last
+one takes all pairs that no component holds yet.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import cut, mix, pieces
+from gridloom.llm.base import arrow, cut, drop, mix, pieces
 from gridloom.llm.components import components
 from gridloom.llm.shingles import fingerprint, shingle_sets
 
@@ -30,13 +31,15 @@ _FIRST = ["f0", "f1", "f2", "f3"]
 @dataclass(frozen=True)
 class JaccardParams:
     """Link where up * intersection >= low * union, e.g. 100 and 90 for 0.9. sketch_bits
-    fixes the size of the frequency sketch (and of what is broadcast: a byte a bucket)."""
+    fixes the size of the frequency sketch (and of what is broadcast: a byte a bucket). stars:
+    rounds of few pairs before the one of all pairs that are left; they never change a result."""
 
     size: int = 3
     up: int = 100
     low: int = 90
     sketch_bits: int = 18
     cells: int = 128
+    stars: int = 2
 
 
 def frequency_classes(docs: DataFrame, text_col: str, p: JaccardParams) -> np.ndarray:
@@ -55,7 +58,7 @@ def frequency_classes(docs: DataFrame, text_col: str, p: JaccardParams) -> np.nd
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(df[hit])], ["bucket", "n"])
 
-    got = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = arrow(docs.select(F.col(text_col).cast("string")), count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(n)
     df[got["bucket"].to_numpy()] = got["n"].to_numpy()
     usual = max(1.0, float(np.median(df)) + 4 * float(np.sqrt(max(1.0, np.median(df)))))
@@ -93,7 +96,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(spread, pa.list_(pa.int32())), *[pa.array(quarters[:, k].copy()) for k in range(4)]], ["id", "n", "a", "b", "prefix", "spread", *_PARITY])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.col(text_col).cast("string"))
-    return rows.mapInArrow(measure, "id long, n long, a long, b long, prefix array<long>, spread array<int>, q0 long, q1 long, q2 long, q3 long")
+    return arrow(rows, measure, "id long, n long, a long, b long, prefix array<long>, spread array<int>, q0 long, q1 long, q2 long, q3 long")
 
 
 def _apart(x: str, y: str) -> Column:
@@ -129,7 +132,7 @@ def _first_meeting(x: str, y: str) -> Column:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose full sets link.
+    """Those of the pairs (u, v) of nodes whose full sets link, written out.
 
     The sum of the lesser counts over all cells bounds an intersection from above, so pairs
     below the need go before any full set is read. nodes: (node, id, n, spread).
@@ -137,8 +140,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     spread = nodes.select("node", "n", "spread")
     both = pairs.join(spread.toDF("u", "nu", "su"), "u").join(spread.toDF("v", "nv", "sv"), "v")
     most = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    pairs = cut(both.where(most * (p.up + p.low) >= (F.col("nu") + F.col("nv")) * p.low).select("u", "v"), "likely")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    likely = cut(both.where(most * (p.up + p.low) >= (F.col("nu") + F.col("nv")) * p.low).select("u", "v"), "likely")
+    wanted = likely.select(F.col("u").alias("node")).union(likely.select(F.col("v").alias("node"))).distinct()
     wanted = cut(nodes.select("node", "id").join(wanted, "node", "left_semi"), "wanted")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
 
@@ -148,11 +151,62 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
                 sets = shingle_sets(piece, p.size)
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x)[0] for x in sets], pa.int64()), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "items"])
 
-    sets = rows.select("text").mapInArrow(full, "node long, items array<long>").join(wanted.select("node"), "node", "left_semi")
+    sets = arrow(rows.select("text"), full, "node long, items array<long>").join(wanted.select("node"), "node", "left_semi")
     sets = cut(sets.dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+    both = likely.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * p.up >= (F.size("x") + F.size("y") - shared) * p.low).select("u", "v")
+    links = cut(both.where(shared * p.up >= (F.size("x") + F.size("y") - shared) * p.low).select("u", "v"), "links")
+    drop(likely, wanted, sets)
+    return links
+
+
+def _placed(member: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with the component that links known so far put them in."""
+    if labels is None:
+        return member.withColumn("comp", F.col("node"))
+    return member.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _open(units: DataFrame, lists: DataFrame, facts: DataFrame) -> DataFrame:
+    """Entries of lists that hold several components, low being the least: each group's
+    shingles, for each component that it has members of. Groups with several count as lists
+    themselves, at place 0."""
+    cols = ["g", "comp", "rep", "away", *_PARITY, "n", *_FIRST]
+    units = units.join(facts.drop(*_PARITY), "g").select(*cols)
+    several = units.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    inside = units.join(several.select("g"), "g").select(F.col("g").alias("token"), F.lit(0).alias("pos"), F.lit(True).alias("inner"), *cols)
+    entries = lists.select("token", "g", "pos").join(units, "g").select("token", "pos", F.lit(False).alias("inner"), *cols).union(inside)
+    mixed = entries.groupBy("token", "inner").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    return entries.join(mixed.select("token", "inner", "low"), ["token", "inner"])
+
+
+def _star(entries: DataFrame, turn: int, p: JaccardParams) -> DataFrame:
+    """(u, v): in each list, entries of about one size against one of them, the one with the
+    fewest shingles before the list's own: what copies have been made of has no rare ones of
+    its own. Of two components that meet so, the pair that differs least. Turns shift the size
+    bands, so that sizes which may link share one in every other turn, and draw other hashes."""
+    step = 2 * np.log(p.up / p.low)
+    banded = entries.select("token", "inner", F.floor(F.log("n") / float(step) + 0.5 * (turn % 2)).alias("band"), F.struct("pos", F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", "rep", "n", *_PARITY).alias("y"))
+    keys = ["token", "inner", "band"]
+    met = banded.join(banded.groupBy(*keys).agg(F.min("y").alias("x")), keys)
+    met = met.where((F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", p) & _near("x", "y", p))
+    apart = (_apart("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("apart")
+    best = met.groupBy(F.least("x.comp", "y.comp"), F.greatest("x.comp", "y.comp")).agg(F.min(F.struct(apart, F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))).alias("m"))
+    return best.select("m.u", "m.v")
+
+
+def _rest(entries: DataFrame, placed: DataFrame, p: JaccardParams) -> DataFrame:
+    """(u, v): every pair of members that may link and that no component holds yet."""
+    # a pair is met from the side outside a list's least component, so that a large component
+    # that fills a list isn't paired with itself
+    x, y = entries.where("comp != low").alias("x"), entries.alias("y")
+    once = (F.col("y.comp") == F.col("y.low")) | (F.col("x.comp") < F.col("y.comp"))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.inner") == F.col("y.inner")) & (F.col("x.comp") != F.col("y.comp")) & once
+    met = x.join(y, same & (F.col("x.inner") | _first_meeting("x", "y")) & _may_link("x", "y", p) & _near("x", "y", p, F.col("x.away") + F.col("y.away")))
+    met = met.select(*[F.col(f"{t}.{c}").alias(f"{c}{t}") for t in "xy" for c in ("g", "comp")]).distinct()
+    one, two = placed.alias("one"), placed.alias("two")
+    pairs = met.join(one, (F.col("gx") == F.col("one.g")) & (F.col("compx") == F.col("one.comp"))).join(two, (F.col("gy") == F.col("two.g")) & (F.col("compy") == F.col("two.comp")))
+    return pairs.where(_near("one", "two", p)).select(F.col("one.node").alias("u"), F.col("two.node").alias("v")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: JaccardParams | None = None) -> DataFrame:
@@ -161,17 +215,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id: the smallest id reachable by links, its own included. Null and empty texts
     have no shingles and link with nothing. Rows of equal text are linked; rows that repeat an
     id share its component only if their texts link. Null ids stay null unless linked with a
-    row that has one. An empty table gives no rows. No link between different texts is lost:
-    every pair that the filters pass is verified or already within one component. Sets are
-    told apart by 128-bit fingerprints, nodes of the join by 64 of these bits.
+    row that has one. An empty table gives no rows; other columns, whatever their names, play
+    no part. No link between different texts is lost: every pair that the filters pass is
+    verified or already within one component. Sets are told apart by 128-bit fingerprints,
+    nodes of the join by 64 of these bits.
     """
     p = params or JaccardParams()
     base = cut(measured(docs, id_col, text_col, p), "measured")
-    sets = cut(base.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("id")), "nodes")
+    sizes = cut(base.select("id", "n", "a", "b"), "sizes")
+    sets = cut(sizes.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("id")), "nodes")
     # sets under ten shingles link (at 0.9) with equal ones only
     least = next(n for n in range(1, 1 << 20) if p.up * n >= p.low * (n + 1))
     nodes = base.where(F.col("n") >= least).join(sets, ["n", "a", "b", "id"], "left_semi").dropDuplicates(["a"])
     nodes = cut(nodes.select(F.col("a").alias("node"), "id", "n", "prefix", "spread", *_PARITY, F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")), "prefixes")
+    drop(base)
     member = nodes.select("node", "n", "p1", "p2", *_PARITY).join(nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("g")), ["n", "p1", "p2"])
     member = cut(member.select("node", "g", "n", *_PARITY), "members")
     leads = nodes.join(member.where("node = g").select("node"), "node", "left_semi")
@@ -183,68 +240,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = lists.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("token")
     lists = cut(lists.join(shared, "token"), "lists")
 
-    # round 1: each group with the group that leads most of its shingles' lists, lead with lead,
-    # and each group's members with its least
-    entry = F.struct("g", "n", "pos", *_PARITY)
-    known = lists.join(facts, "g").select("token", entry.alias("y"))
-    star = known.join(known.groupBy("token").agg(F.min("y").alias("x")), "token").where(F.col("x.g") != F.col("y.g")).where(_may_link("x", "y", p) & _near("x", "y", p))
-    star = star.groupBy(F.col("x.g").alias("u"), F.col("y.g").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    star = star.groupBy("v").agg(F.max(F.struct("c", "u")).alias("m")).select("m.u", "v")
-    inner = member.where("node != g").select(F.col("g").alias("u"), F.col("node").alias("v"))
-    links = cut(verified(cut(star.union(inner).distinct(), "pairs"), nodes, docs, id_col, text_col, p), "links")
-    labels = components(links)
-
-    # further rounds: first one entry of each component in a list stands for it and one pair
-    # for two components; at last every pair of members that no link has joined yet. A unit
-    # has the parities of its rep, and `away` is how far any other member that it stands for is
-    turn, last = 0, False
-    while True:
-        placed = cut(member.join(labels, "node", "left").select("node", "g", "n", *_PARITY, F.coalesce("comp", "node").alias("comp")), "placed")
+    # some rounds of few pairs, each contracting what it links; at last every pair of members
+    # that no component holds yet. A unit is what a group has of one component: it has the
+    # parities of its rep, and `away` is how far any other member that it stands for is
+    labels = None
+    for turn in range(p.stars + 1):
+        placed = cut(_placed(member, labels), "placed")
         units = placed.groupBy("g", "comp").agg(F.min(F.struct(F.col("node").alias("rep"), *_PARITY)).alias("r")).select("g", "comp", "r.*")
-        if last:
-            apart = placed.alias("x").join(units.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") == F.col("y.comp")))
-            away = apart.groupBy("y.g", "y.comp").agg(F.max(_apart("x", "y")).alias("away"))
-            units = cut(units.join(away, ["g", "comp"]), "units")
-        else:
+        if turn < p.stars:
             units = units.withColumn("away", F.lit(0))  # only reps are paired
-        entries = lists.join(units.join(facts.drop(*_PARITY), "g"), "g")
-        mixed = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "low")
-        entries = entries.join(mixed, "token")
-        if not last:
-            first = F.min(F.struct("rep", "g", "n", "pos", "away", *_PARITY, *_FIRST)).alias("f")
-            entries = entries.groupBy("token", "low", "comp").agg(first).select("token", "low", "comp", "f.*")
-        entries = cut(entries, "entries")
-        # a pair is met from the side outside the shingle's least component: a large
-        # component that fills a list isn't paired with itself
-        x, y = entries.where("comp != low").alias("x"), entries.alias("y")
-        once = (F.col("y.comp") == F.col("y.low")) | (F.col("x.comp") < F.col("y.comp"))
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _first_meeting("x", "y") & _may_link("x", "y", p) & _near("x", "y", p, F.col("x.away") + F.col("y.away")))
-        unit = [F.col(f"{t}.{c}").alias(f"{c}{t}") for t in "xy" for c in ("g", "comp", "rep")]
-        met = met.select(*unit).distinct()
-        several = units.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("g")
-        inside = units.join(several, "g")
-        inside = inside.alias("x").join(inside.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") < F.col("y.comp"))).select(*unit)
-        met = met.union(inside)
-        if last:
-            one, two = placed.alias("one"), placed.alias("two")
-            pairs = met.join(one, (F.col("gx") == F.col("one.g")) & (F.col("compx") == F.col("one.comp"))).join(two, (F.col("gy") == F.col("two.g")) & (F.col("compy") == F.col("two.comp")))
-            pairs = pairs.where(_near("one", "two", p)).select(F.col("one.node").alias("u"), F.col("two.node").alias("v")).distinct()
         else:
-            pairs = met.groupBy(F.least("compx", "compy"), F.greatest("compx", "compy")).agg(F.min(F.struct(F.col("repx").alias("u"), F.col("repy").alias("v"))).alias("m")).select("m.u", "m.v")
-        more = cut(verified(cut(pairs, "pairs"), nodes, docs, id_col, text_col, p), "links")
-        found = not more.isEmpty()
-        if found:
-            links = links.union(more)
-            labels = components(links)
-        if last:
-            break
-        turn += 1
-        last = not found or turn == 2
-
-    known = sets.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    smallest = known.groupBy("comp").agg(F.min("id").alias("c"))
-    known = cut(known.join(smallest, "comp").select("n", "a", "b", "c"), "components")
-    out = base.select("id", "n", "a", "b").join(known, ["n", "a", "b"], "left")
+            apart = placed.alias("x").join(units.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") == F.col("y.comp")))
+            units = units.join(apart.groupBy("y.g", "y.comp").agg(F.max(_apart("x", "y")).alias("away")), ["g", "comp"])
+        entries = cut(_open(units, lists, facts), "entries")
+        pairs = cut(_star(entries, turn, p) if turn < p.stars else _rest(entries, placed, p), "pairs")
+        links = verified(pairs, nodes, docs, id_col, text_col, p)
+        drop(placed, entries, pairs)
+        known = links if labels is None else links.union(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+        labels = components(known)
+        drop(links)
+    drop(nodes, member, facts, lists)
+
+    found = sets.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    smallest = found.groupBy("comp").agg(F.min("id").alias("c"))
+    found = cut(found.join(smallest, "comp").select("n", "a", "b", "c"), "components")
+    drop(sets)
+    out = sizes.join(found, ["n", "a", "b"], "left")
     real = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
     return out.select(real("id").alias("id"), F.col("n").alias("n_shingles"), F.coalesce(real("c"), real("id")).alias("component_id"))
 

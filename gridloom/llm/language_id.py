@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import Piece, code_points, letter_table, pieces
+from gridloom.llm.base import Piece, code_points, letter_table, pieces, arrow
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def document_frequencies(train: DataFrame, text_col: str, p: LangParams) -> tupl
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], rows))], ["bucket", "n"])
 
-    got = train.select(text_col).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = arrow(train.select(text_col), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(p.sizes) * width)
     rows = int(got["n"][got["bucket"] == -1].sum())
     real = got[got["bucket"] >= 0]
@@ -213,7 +213,7 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
                     out_n.append(n.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(out_i, pa.list_(pa.int32())), pa.array(out_n, pa.list_(pa.int32()))], ["lang", "ids", "n"])
 
-    sample = drawn.mapInArrow(features, "lang string, ids array<int>, n array<int>").toArrow().sort_by([("lang", "ascending")])
+    sample = arrow(drawn, features, "lang string, ids array<int>, n array<int>").toArrow().sort_by([("lang", "ascending")])
     rows_ = sorted(((r["lang"], np.array(r["ids"], np.int64), np.array(r["n"], float)) for r in sample.to_pylist()), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     langs = sorted({r[0] for r in rows_}) or sorted(r["lang"] for r in found)
     return fit(rows_, langs, idf, p)
@@ -236,4 +236,4 @@ def identify(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id", t
                 lang, s = m.predict(p) if m else ([UNKNOWN] * len(p), np.zeros(len(p)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.lo, len(p)), pa.array(lang, pa.string()), pa.array(s, pa.float64())], ["id", "lang_pred", "score"])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(score, f"id {kind}, lang_pred string, score double")
+    return arrow(docs.select(id_col, F.col(text_col).cast("string")), score, f"id {kind}, lang_pred string, score double")

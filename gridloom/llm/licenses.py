@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.base import LOWER, ByteHash, Piece, mix, pieces
+from gridloom.llm.base import LOWER, ByteHash, Piece, mix, pieces, arrow
 
 # Notices and short license texts, as published.
 TEMPLATES: dict[str, str] = {
@@ -207,4 +207,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                         coverage.append(m / len(ix.words[t]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(name, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(matched, pa.int64()), pa.array(coverage, pa.float64())], ["id", "license", "start", "end", "matched", "coverage"])
 
-    return docs.select(id_col, docs[text_col].cast("string")).mapInArrow(run, f"id {kind}, license string, start long, end long, matched long, coverage double")
+    return arrow(docs.select(id_col, docs[text_col].cast("string")), run, f"id {kind}, license string, start long, end long, matched long, coverage double")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.base import pieces
+from gridloom.llm.base import pieces, arrow
 
 #: Blocks a row of the images that the writer makes, and rows of blocks in one image:
 #: a height of 65,472 lines; a longer payload continues in a further image.
@@ -484,7 +484,7 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for p in pieces(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.lo, len(p)), pa.array(np.diff(p.offsets)), pa.array(encode(p.data, p.offsets), pa.binary())], ["id", "n_bytes", "media"])
 
-    return docs.select(id_col, text_col).mapInArrow(write, f"id {kind}, n_bytes long, media binary")
+    return arrow(docs.select(id_col, text_col), write, f"id {kind}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -514,4 +514,4 @@ def media_features(media: DataFrame) -> DataFrame:
                     ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
-    return media.select("id", "n_bytes", "media").mapInArrow(features, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow(media.select("id", "n_bytes", "media"), features, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

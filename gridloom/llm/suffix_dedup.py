@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.base import ByteHash, Piece, cut, pieces, word_spans
+from gridloom.llm.base import ByteHash, Piece, cut, pieces, word_spans, arrow
 
 _NO_ID = (1 << 63) - 1
 #: Passages can be counted in words: a text's words as codes of 8 ASCII bytes (48 bits) each.
@@ -65,7 +65,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for piece in pieces(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array([c.decode("ascii") for c in _word_codes(piece)], pa.string())], ["id", "text"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(code, "id long, text string")
+    return arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), code, "id long, text string")
 
 
 def _spans_of_words(raw: bytes, spans: list) -> list:
@@ -152,7 +152,7 @@ def _first_round(rows: DataFrame, p: RepeatParams) -> DataFrame:
                 keys = [_text_key(piece.row(k)) for k in range(len(piece))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(np.diff(piece.offsets)), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *lists], ["id", "n", "sha", "fp", "at", "core", "hull"])
 
-    return rows.mapInArrow(scan, "id long, n long, sha string, fp long, at array<long>, core array<long>, hull array<long>")
+    return arrow(rows, scan, "id long, n long, sha string, fp long, at array<long>, core array<long>, hull array<long>")
 
 
 def _next_round(texts: DataFrame, size: int, sub: int, p: RepeatParams) -> DataFrame:
@@ -179,7 +179,7 @@ def _next_round(texts: DataFrame, size: int, sub: int, p: RepeatParams) -> DataF
                 if len(a):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)).take(pa.array(row)), batch.column(1).slice(piece.lo, len(piece)).take(pa.array(row)), pa.array((a - low) * 1024 + cell), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64), mask=~inside)], ["fp", "n", "at", "core", "hull"])
 
-    return texts.select("fp", "n", "text", "ats").mapInArrow(scan, "fp long, n long, at long, core long, hull long")
+    return arrow(texts.select("fp", "n", "text", "ats"), scan, "fp long, n long, at long, core long, hull long")
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -239,7 +239,7 @@ def _removal(texts: DataFrame) -> DataFrame:
                 sha.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["fp", "n", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.select("fp", "n", "text", "spans").mapInArrow(apply, "fp long, n long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow(texts.select("fp", "n", "text", "spans"), apply, "fp long, n long, n_removed long, n_spans long, kept_sha256 string")
 
 
 @dataclass
@@ -262,7 +262,7 @@ def _fetch(rows: DataFrame, ids: DataFrame, need: DataFrame) -> DataFrame:
 
     wanted = ids.join(need.select("fp", "n"), ["fp", "n"], "left_semi")
     hit = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "text")
-    keyed = hit.mapInArrow(key, "fp long, n long, text string")
+    keyed = arrow(hit, key, "fp long, n long, text string")
     # an id that repeats may bring other texts along
     return keyed.join(wanted.select("fp", "n"), ["fp", "n"], "left_semi").dropDuplicates(["fp", "n"])
 
@@ -343,7 +343,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keys = [pa.array(x, pa.int64()) for t in (raw, code) for x in ([_text_key(c)[1] for c in t], [len(c) for c in t])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[*names, "_fp", "_n", "_wfp", "_wn"])
 
-    marked = docs.mapInArrow(mark, key).join(spans, ["_fp", "_n"], "left")
+    marked = arrow(docs, mark, key).join(spans, ["_fp", "_n"], "left")
     marked = marked.join(runs, ["_wfp", "_wn"], "left") if words else marked.withColumn("_runs", F.lit(None).cast(spans.schema["_spans"].dataType))
     marked = marked.select(*[F.col(f"`{c}`") for c in names], "_spans", "_runs")
     length = names.index(length_col) if length_col in names else -1
@@ -372,7 +372,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 columns[length] = pa.array(sizes, columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return marked.mapInArrow(apply, docs.schema)
+    return arrow(marked, apply, docs.schema)
 
 
 def brute_force(rows: list[tuple], threshold: int = 400) -> list[tuple]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import Piece, Powers, code_points, letter_table, mix, pieces
+from gridloom.llm.base import Piece, Powers, code_points, letter_table, mix, pieces, arrow
 
 
 @dataclass(frozen=True)
@@ -367,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
                     flat.append(np.concatenate([x[a:b] for x in words.hashes]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(flat, pa.list_(pa.int64()))], ["y", "hashes"])
 
-    got = drawn.mapInArrow(features, "y int, hashes array<long>").toArrow()
+    got = arrow(drawn, features, "y int, hashes array<long>").toArrow()
     parts = []
     for y, v in zip(got.column("y").to_pylist(), got.column("hashes")):
         x = np.asarray(v.values).view(np.uint64)
@@ -410,7 +410,7 @@ def score(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", tex
                 cut_at = m.params.threshold if m else 1.0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(s, pa.float64()), pa.array((s >= cut_at).astype(np.int32)), pa.array([[{"start": x["start"], "end": x["end"]} for x in f] for f in found], span)], ["id", "score", "predicted", "spans"])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, score double, predicted int, spans array<struct<start:bigint,end:bigint>>")
+    return arrow(docs.select(id_col, F.col(text_col).cast("string")), run, f"id {kind}, score double, predicted int, spans array<struct<start:bigint,end:bigint>>")
 
 
 def without_toxic(docs: DataFrame, model: ToxicModel | None, text_col: str = "text") -> DataFrame:
@@ -429,4 +429,4 @@ def without_toxic(docs: DataFrame, model: ToxicModel | None, text_col: str = "te
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
