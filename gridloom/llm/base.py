@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 # -- storage ---------------------------------------------------------------------------
@@ -115,6 +115,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(columns: list[str], wish: str) -> str:
+    """wish, with underscores before it until no column has that name, in any case."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
 # -- row splits ------------------------------------------------------------------------
 
 
@@ -202,8 +210,8 @@ class Powers:
 
 
 class ByteHash:
-    """Polynomial prefix sums over one array of bytes, from which the hash of any
-    substring follows in constant time. Each byte value stands for a random word."""
+    """Polynomial prefix sums over one array of bytes, or of 64-bit symbols, from which the hash
+    of any substring follows in constant time. Each byte value stands for a random word."""
 
     _powers: dict[int, Powers] = {}
     _tables: dict[int, np.ndarray] = {}
@@ -216,7 +224,9 @@ class ByteHash:
         self.p = self._powers[seed]
         self.p.need(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self._tables[seed][data] * self.p.up[: len(data)], out=self.sums[1:])
+        # other symbols than bytes, such as hashes of words, are their own random words
+        symbols = self._tables[seed][data] if data.dtype == np.uint8 else mix(data + self._tables[seed][0])
+        np.cumsum(symbols * self.p.up[: len(data)], out=self.sums[1:])
 
     @classmethod
     def shrink(cls, keep: int = PIECE_BYTES) -> None:

@@ -14,7 +14,7 @@ from gridloom.llm.language_id import identify, train
 from gridloom.llm.media import media_features, with_media
 from gridloom.llm.mixing import mixed, word_count
 from gridloom.llm import bpe, licenses, toxicity
-from gridloom.llm.suffix_dedup import repeat_report
+from gridloom.llm.suffix_dedup import WORDS_51, repeat_report
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return repeat_report(docs).withColumnRenamed("id", "doc_id")
+    return repeat_report(docs, words=WORDS_51).withColumnRenamed("id", "doc_id")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

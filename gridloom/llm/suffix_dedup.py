@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,60 +29,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.base import ByteHash, Piece, cut, pieces, word_spans, arrow
+from gridloom.llm.base import ByteHash, Piece, arrow, cut, drop, free_name, pieces, word_spans
 
 _NO_ID = (1 << 63) - 1
-#: Passages can be counted in words: a text's words as codes of 8 ASCII bytes (48 bits) each.
-CODE = 8
-_LETTERS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", np.uint8)
 
 
 @dataclass(frozen=True)
 class RepeatParams:
-    """threshold - gram + 1 must be a multiple of each cell size, in falling order to 1."""
+    """threshold, gram and cells count bytes of texts, or words. threshold - gram + 1 must be a
+    multiple of each cell size, in falling order to 1."""
 
     threshold: int = 400
     gram: int = 17
     cells: tuple[int, ...] = (128, 16, 1)
+    words: bool = False
 
 
-#: Runs of 51 words, to be found in codes.
-WORDS_51 = RepeatParams(threshold=51 * CODE, gram=25)
+#: Runs of 51 words, whatever stands between them.
+WORDS_51 = RepeatParams(threshold=51, gram=12, cells=(40, 8, 1), words=True)
 
 
-def _word_codes(piece: Piece) -> list[bytes]:
-    """For each row, its words' codes without anything between."""
+def _symbols(piece: Piece, p: RepeatParams) -> tuple[np.ndarray, np.ndarray]:
+    """What a piece's texts consist of: bytes, or hashes of words; and where each row begins."""
+    if not p.words:
+        return piece.data, piece.offsets
     s, e, first = word_spans(piece)
-    h = ByteHash(piece.data).of(s, e) if len(s) else np.zeros(0, np.uint64)
-    codes = _LETTERS[((h[:, None] >> (6 * np.arange(CODE)).astype(np.uint64)) & np.uint64(63)).astype(np.int64)].tobytes()
-    return [codes[CODE * a : CODE * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    return (ByteHash(piece.data).of(s, e) if len(s) else np.zeros(0, np.uint64)), first
 
 
-def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) with codes of words as texts."""
-
-    def code(batches):
-        for batch in batches:
-            for piece in pieces(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array([c.decode("ascii") for c in _word_codes(piece)], pa.string())], ["id", "text"])
-
-    return arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), code, "id long, text string")
+def _keys(symbols: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[int]]:
+    """For each row, the sha256 of its symbols and 64 bits of it."""
+    digests = [hashlib.sha256(symbols[a:b].tobytes()).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return [d.hex() for d in digests], [int.from_bytes(d[:8], "little", signed=True) for d in digests]
 
 
 def _spans_of_words(raw: bytes, spans: list) -> list:
-    """Spans in a text's codes as spans in the text; blanks go with the word before them."""
+    """Spans in a text's words as spans in its bytes; blanks go with the word before them."""
     s, e, _ = word_spans(Piece(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
-    begin, out = np.append(s, e[-1:]), []
-    for x, y in zip(*_union(spans)):
-        out.append({"s": int(begin[-(-x // CODE)]), "e": int(begin[y // CODE])})
-    return out
+    begin = np.append(s, e[-1:])
+    return [{"s": int(begin[x]), "e": int(begin[y])} for x, y in zip(*_union(spans))]
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, sums: ByteHash, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(n: int, offsets: np.ndarray, sums: ByteHash, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window) of each run of windows with one anchor, as
-    positions in data; windows never cross rows."""
+    positions in n symbols; windows never cross rows."""
     none = np.zeros(0, np.int64)
-    n, w = len(data), p.threshold - p.gram + 1
+    w = p.threshold - p.gram + 1
     if n < p.threshold:
         return none, none, none
     at = np.arange(n - p.gram + 1)
@@ -127,49 +120,53 @@ def _names(one: ByteHash, two: ByteHash, a: np.ndarray, cell: np.ndarray, size:
     return core, two.of(np.where(inside, s, low), np.where(inside, e, low)), inside
 
 
-def _text_key(raw: bytes) -> tuple[str, int]:
-    d = hashlib.sha256(raw).digest()
-    return d.hex(), int.from_bytes(d[:8], "little", signed=True)
-
-
-def _first_round(rows: DataFrame, p: RepeatParams) -> DataFrame:
-    """(id, n, sha, fp, at, core, hull) of each text; at = anchor * 64 + cell."""
-    size = p.cells[0]
+def _first_round(rows: DataFrame, searches: list[RepeatParams]) -> DataFrame:
+    """(id, sha) of each text and, for each search k, (n_k, fp_k, x_k): its length and key, and
+    its cells as (at, core, hull); at = anchor * 64 + cell."""
+    cell_type = "array<struct<at:bigint,core:bigint,hull:bigint>>"
+    schema = "id long, sha string, " + ", ".join(f"n_{k} long, fp_{k} long, x_{k} {cell_type}" for k in range(len(searches)))
 
     def scan(batches):
         for batch in batches:
             for piece in pieces(batch.column(1)):
-                one, two = ByteHash(piece.data, 1), ByteHash(piece.data, 2)
-                a, first, last = anchors(piece.data, piece.offsets, one, p)
-                run, cell = _cells(a, first, last, size)
-                row = np.searchsorted(piece.offsets, first, "right") - 1
-                low, high = piece.offsets[row], piece.offsets[row + 1]
-                core, hull, inside = _names(one, two, a[run], cell, size, low[run], high[run], p)
-                bounds = np.searchsorted(row[run], np.arange(len(piece) + 1))
-                where = (a - low)[run] * 64 + cell
-                off = pa.array(bounds.astype(np.int32))
-                lists = [pa.ListArray.from_arrays(off, x) for x in (pa.array(where), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64), mask=~inside))]
-                keys = [_text_key(piece.row(k)) for k in range(len(piece))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(np.diff(piece.offsets)), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *lists], ["id", "n", "sha", "fp", "at", "core", "hull"])
-
-    return arrow(rows, scan, "id long, n long, sha string, fp long, at array<long>, core array<long>, hull array<long>")
+                columns = [batch.column(0).slice(piece.lo, len(piece)), None]
+                for p in searches:
+                    size = p.cells[0]
+                    symbols, offsets = _symbols(piece, p)
+                    one, two = ByteHash(symbols, 1), ByteHash(symbols, 2)
+                    a, first, last = anchors(len(symbols), offsets, one, p)
+                    run, cell = _cells(a, first, last, size)
+                    row = np.searchsorted(offsets, first, "right") - 1
+                    low, high = offsets[row], offsets[row + 1]
+                    core, hull, inside = _names(one, two, a[run], cell, size, low[run], high[run], p)
+                    bounds = np.searchsorted(row[run], np.arange(len(piece) + 1))
+                    where = (a - low)[run] * 64 + cell
+                    cells = pa.StructArray.from_arrays([pa.array(where), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64), mask=~inside)], ["at", "core", "hull"])
+                    sha, fp = _keys(symbols, offsets)
+                    if not p.words or columns[1] is None:
+                        columns[1] = pa.array(sha, pa.string())
+                    columns += [pa.array(np.diff(offsets)), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), cells)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "sha", *[f"{c}_{k}" for k in range(len(searches)) for c in ("n", "fp", "x")]])
+
+    return arrow(rows, scan, schema)
 
 
 def _next_round(texts: DataFrame, size: int, sub: int, p: RepeatParams) -> DataFrame:
     """(fp, n, at, core, hull) for each cell of size `sub` within the cells `ats` of size `size`."""
+    base, each = 64 if size == p.cells[0] else 1024, size // sub
 
     def scan(batches):
         for batch in batches:
             ats = batch.column(3)
             for piece in pieces(batch.column(2)):
-                one, two = ByteHash(piece.data, 1), ByteHash(piece.data, 2)
+                symbols, offsets = _symbols(piece, p)
+                one, two = ByteHash(symbols, 1), ByteHash(symbols, 2)
                 part = ats.slice(piece.lo, len(piece))
                 flat = np.asarray(part.flatten())
                 row = np.repeat(np.arange(len(piece)), np.asarray(part.value_lengths().fill_null(0)))
-                low, high = piece.offsets[row], piece.offsets[row + 1]
-                each = size // sub
-                a = np.repeat(flat // (64 if size == p.cells[0] else 1024) + low, each)
-                cell = np.repeat(flat % (64 if size == p.cells[0] else 1024), each) * each + np.tile(np.arange(each), len(flat))
+                low, high = offsets[row], offsets[row + 1]
+                a = np.repeat(flat // base + low, each)
+                cell = np.repeat(flat % base, each) * each + np.tile(np.arange(each), len(flat))
                 low, high, row = np.repeat(low, each), np.repeat(high, each), np.repeat(row, each)
                 # the cell must hold a window inside the row
                 some = (a - cell * sub >= low) & (a - cell * sub - sub + 1 + p.threshold <= high)
@@ -188,25 +185,33 @@ def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return found.where("least != most").select(*keys)
 
 
-def _settle(rows: DataFrame, size: int, base: int) -> tuple[DataFrame, DataFrame]:
+def _settle(rows: DataFrame, size: int, base: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """One round on (fp, n, at, core, hull): rows whose hull repeats, and rows for the next
-    round: all members of cores that hold a row not settled, one of each hull."""
+    round: all members of cores that hold a row not settled, one of each hull. Also the tables
+    that they read.
+
+    Repeated ranks are tables of their own before rows join them: so Spark sees both sides of
+    a join and deals a rank that fills a partition to several tasks.
+    """
     # two anchors can name one place of a text; a position is one number, so that groups ship little
-    place = F.floor(F.col("at") / base) - F.col("at") % base * size
+    place = F.expr(f"at div {base} - at % {base} * {size}")
     placed = rows.withColumn("position", F.xxhash64("fp", "n", place))
-    alive = cut(rows.join(_repeated(placed, "core"), "core").distinct(), "alive")  # equal texts meet here
-    done = _repeated(alive.where("hull is not null").withColumn("position", F.xxhash64("fp", "n", place)), "core", "hull").withColumn("done", F.lit(True))
+    cores = cut(_repeated(placed, "core"), "cores")
+    alive = cut(rows.join(cores, "core").distinct(), "alive")  # equal texts meet here
+    drop(cores)
+    done = cut(_repeated(alive.where("hull is not null").withColumn("position", F.xxhash64("fp", "n", place)), "core", "hull").withColumn("done", F.lit(True)), "done")
     known = cut(alive.join(done, ["core", "hull"], "left"), "known")
+    drop(alive, done)
     passed = known.where("done")
-    open_cores = known.where("done is null").select("core").distinct()
+    ends = cut(known.where("done is null").select("core").distinct(), "open")
     # equal hulls hold equal windows: one of them stands for all in later rounds
-    one = passed.join(open_cores, "core", "left_semi").groupBy("core", "hull").agg(F.min(F.struct("fp", "n", "at")).alias("x")).select("x.fp", "x.n", "x.at")
-    return passed.select("fp", "n", "at"), known.where("done is null").select("fp", "n", "at").union(one)
+    one = passed.join(ends, "core", "left_semi").groupBy("core", "hull").agg(F.min(F.struct("fp", "n", "at")).alias("x")).select("x.fp", "x.n", "x.at")
+    return passed.select("fp", "n", "at"), known.where("done is null").select("fp", "n", "at").union(one), [known, ends]
 
 
 def _spans(rows: DataFrame, size: int, base: int, p: RepeatParams) -> DataFrame:
     """(fp, n, s, e): bytes within the hulls of cells."""
-    a, cell = F.floor(F.col("at") / base), F.col("at") % base
+    a, cell = F.expr(f"at div {base}"), F.col("at") % base
     return rows.select("fp", "n", (a - cell * size - size + 1).cast("long").alias("s"), (a - cell * size + p.threshold).cast("long").alias("e"))
 
 
@@ -244,73 +249,113 @@ def _removal(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Repeats:
-    """rows: (id, n, sha, fp, whole) per input row, whole where every byte repeats; spans:
+    """rows: (id, sha) of each input row and for each search k its length and key, (n_k, fp_k);
+    whole: for each search, (n, fp) of texts of which every symbol repeats; spans: for each,
     (fp, n, spans) of the other texts with repeats, spans as s and e, unsorted."""
 
     rows: DataFrame
-    spans: DataFrame
+    whole: list[DataFrame]
+    spans: list[DataFrame]
 
 
-def _fetch(rows: DataFrame, ids: DataFrame, need: DataFrame) -> DataFrame:
+def _fetch(rows: DataFrame, ids: DataFrame, need: DataFrame, p: RepeatParams) -> DataFrame:
     """(fp, n, text) for each key in need. ids: (fp, n, id) with one id for each text."""
 
     def key(batches):
         for batch in batches:
-            fp = [_text_key(x.as_buffer() if x.is_valid else b"")[1] for x in batch.column(1)]
-            n = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(n, pa.int64()), batch.column(1)], ["fp", "n", "text"])
+            for piece in pieces(batch.column(1)):
+                symbols, offsets = _symbols(piece, p)
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(symbols, offsets)[1], pa.int64()), pa.array(np.diff(offsets)), batch.column(1).slice(piece.lo, len(piece))], ["fp", "n", "text"])
 
     wanted = ids.join(need.select("fp", "n"), ["fp", "n"], "left_semi")
     hit = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "text")
-    keyed = arrow(hit, key, "fp long, n long, text string")
+    keyed = arrow(hit.select("id", "text"), key, "fp long, n long, text string")
     # an id that repeats may bring other texts along
     return keyed.join(wanted.select("fp", "n"), ["fp", "n"], "left_semi").dropDuplicates(["fp", "n"])
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: RepeatParams | None = None) -> tuple[Repeats, DataFrame]:
-    """Where bytes repeat; and the narrowed input (id, text)."""
-    p = params or RepeatParams()
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = cut(_first_round(rows, p), "anchors")
-    texts = cut(first.groupBy("fp", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "texts")
-    whole = texts.where((F.col("copies") > 1) & (F.col("n") >= p.threshold)).select("fp", "n")
-    cells = first.select("fp", "n", F.explode(F.arrays_zip("at", "core", "hull")).alias("x")).select("fp", "n", "x.at", "x.core", "x.hull")
-    passed, more = _settle(cells, p.cells[0], 64)
-    spans = _spans(passed, p.cells[0], 64, p)
-    for size, sub in zip(p.cells[:-1], p.cells[1:]):
-        more = more.groupBy("fp", "n").agg(F.collect_set("at").alias("ats"))
-        loaded = cut(_fetch(rows, texts, more).join(more, ["fp", "n"]), "round")
-        cells = cut(_next_round(loaded, size, sub, p), "cells")
-        passed, more = _settle(cells, sub, 1024)
-        spans = spans.union(_spans(passed, sub, 1024, p))
-    merged = spans.join(whole, ["fp", "n"], "left_anti").groupBy("fp", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    marked = first.select("id", "n", "sha", "fp").join(whole.withColumn("whole", F.lit(True)), ["fp", "n"], "left")
-    return Repeats(marked, cut(merged, "spans")), rows
-
-
-def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: RepeatParams | None = None) -> DataFrame:
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def find_repeats(docs: DataFrame, searches: list[RepeatParams], id_col: str = "doc_id", text_col: str = "text") -> Repeats:
+    """Where strings of bytes or of words repeat: each search has its own threshold."""
+    rows = _narrow(docs, id_col, text_col)
+    first = cut(_first_round(rows, searches), "anchors")
+    out = Repeats(cut(first.drop(*[f"x_{k}" for k in range(len(searches))]), "texts"), [], [])
+    for k, p in enumerate(searches):
+        texts = cut(out.rows.groupBy(F.col(f"fp_{k}").alias("fp"), F.col(f"n_{k}").alias("n")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "ids")
+        whole = texts.where((F.col("copies") > 1) & (F.col("n") >= p.threshold)).select("fp", "n")
+        cells = first.select(F.col(f"fp_{k}").alias("fp"), F.col(f"n_{k}").alias("n"), F.explode(f"x_{k}").alias("x")).select("fp", "n", "x.at", "x.core", "x.hull")
+        passed, more, tables = _settle(cells, p.cells[0], 64)
+        if k == len(searches) - 1:
+            drop(first)
+        spans = [cut(_spans(passed, p.cells[0], 64, p), "part")]
+        for size, sub in zip(p.cells[:-1], p.cells[1:]):
+            more = more.groupBy("fp", "n").agg(F.collect_set("at").alias("ats"))
+            loaded = cut(_fetch(rows, texts, more, p).join(more, ["fp", "n"]), "round")
+            drop(*tables)
+            cells = cut(_next_round(loaded, size, sub, p), "cells")
+            drop(loaded)
+            passed, more, tables = _settle(cells, sub, 1024)
+            drop(cells)
+            spans.append(cut(_spans(passed, sub, 1024, p), "part"))
+        drop(*tables)
+        whole = cut(whole, "whole")
+        merged = reduce(DataFrame.union, spans).join(whole, ["fp", "n"], "left_anti").groupBy("fp", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        out.spans.append(cut(merged, "spans"))
+        out.whole.append(whole)
+        drop(texts, *spans)
+    return out
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """(fp, n, size, count): symbols in, and number of, the maximal runs of lists of spans."""
+
+    def unite(batches):
+        for batch in batches:
+            both = [_union(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int((e - s).sum()) for s, e in both], pa.int64()), pa.array([len(s) for s, _ in both], pa.int64())], ["fp", "n", "size", "count"])
+
+    return arrow(spans.select("fp", "n", "spans"), unite, "fp long, n long, size long, count long")
+
+
+def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: RepeatParams | None = None, words: RepeatParams | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     Texts count as UTF-8 bytes, null as empty. A byte goes if a string of `threshold` bytes
     over it also starts elsewhere, in the same text or another; overlaps count, and strings
     are judged on the input. Rows of equal texts of at least the threshold lose all bytes,
-    also where ids repeat. An empty table gives no rows.
+    also where ids repeat. An empty table gives no rows; other columns play no part.
+
+    With words, such as WORDS_51, (n_passages, passage_words) follow: how many maximal runs of
+    words the text has in which each run of that many words also stands elsewhere, whatever
+    their bytes take, and the words in them. They change none of the other columns. Ranks are
+    64-bit fingerprints: the result is exact up to their collisions.
     """
-    found, rows = find_repeats(docs, id_col, text_col, params)
-    texts = found.rows.groupBy("fp", "n").agg(F.min("id").alias("id"))
-    loaded = _fetch(rows, texts, found.spans).join(found.spans, ["fp", "n"])
+    p = params or RepeatParams()
+    found = find_repeats(docs, [p, *[words] * bool(words)], id_col, text_col)
+    texts = found.rows.groupBy(F.col("fp_0").alias("fp"), F.col("n_0").alias("n")).agg(F.min("id").alias("id"))
+    loaded = _fetch(_narrow(docs, id_col, text_col), texts, found.spans[0], p).join(found.spans[0], ["fp", "n"])
     partly = _removal(loaded)
-    out = found.rows.join(partly, ["fp", "n"], "left")
+    flag = lambda k: found.whole[k].withColumn(f"whole_{k}", F.lit(True)).withColumnsRenamed({"fp": f"fp_{k}", "n": f"n_{k}"})
+    out = found.rows.join(partly.withColumnsRenamed({"fp": "fp_0", "n": "n_0"}), ["fp_0", "n_0"], "left").join(flag(0), ["fp_0", "n_0"], "left")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    whole = F.coalesce("whole", F.lit(False))
-    zero = F.lit(0).cast("long")
-    return out.select(
+    whole = F.coalesce("whole_0", F.lit(False))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    columns = [
         F.nullif("id", F.lit(_NO_ID)).alias("id"),
-        F.col("n").alias("n_bytes"),
-        F.when(whole, F.col("n")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-        F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.col("n_0").alias("n_bytes"),
+        F.when(whole, F.col("n_0")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(whole, one).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(whole, empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+    ]
+    if words:
+        runs = _runs(found.spans[1]).toDF("fp_1", "n_1", "size_1", "count_1")
+        out = out.join(runs, ["fp_1", "n_1"], "left").join(flag(1), ["fp_1", "n_1"], "left")
+        same = F.coalesce("whole_1", F.lit(False))
+        columns += [F.when(same, one).otherwise(F.coalesce("count_1", zero)).alias("n_passages"), F.when(same, F.col("n_1")).otherwise(F.coalesce("size_1", zero)).alias("passage_words")]
+    return out.select(*columns)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", params: RepeatParams | None = None, words: RepeatParams | None = None) -> DataFrame:
@@ -320,41 +365,40 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A character goes only if all its bytes do, so texts stay valid UTF-8. length_col, where
     docs has it, becomes the new number of characters of changed texts; a text that repeats
-    as a whole becomes empty, a null one stays null.
+    as a whole becomes empty, a null one stays null. Other columns may have any names.
     """
-
-    def spans_of(found: Repeats, *to: str) -> DataFrame:
-        whole = found.rows.where("whole").select("fp", "n").distinct().select("fp", "n", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))))
-        return found.spans.select("fp", "n", "spans").union(whole).toDF(*to)
-
-    spans = spans_of(find_repeats(docs, id_col, text_col, params)[0], "_fp", "_n", "_spans")
-    runs = None
-    if words:
-        codes = cut(coded(docs, id_col, text_col), "codes")
-        runs = spans_of(find_repeats(codes, "id", "text", words)[0], "_wfp", "_wn", "_runs")
+    searches = [params or RepeatParams(), *[words] * bool(words)]
+    found = find_repeats(docs, searches, id_col, text_col)
+    changes = found.rows.select(*[f"{c}_{k}" for k in range(len(searches)) for c in ("fp", "n")]).distinct()
+    for k in range(len(searches)):
+        all_of_it = found.whole[k].select("fp", "n", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))))
+        changes = changes.join(found.spans[k].select("fp", "n", "spans").union(all_of_it).toDF(f"fp_{k}", f"n_{k}", f"spans_{k}"), [f"fp_{k}", f"n_{k}"], "left")
+    if not words:
+        changes = changes.withColumn("spans_1", F.lit(None).cast(changes.schema["spans_0"].dataType))
+    changes = cut(changes.where("spans_0 is not null or spans_1 is not null").select("fp_0", "n_0", "spans_0", "spans_1"), "changes")
+    drop(found.rows, *found.whole, *found.spans)
     names = docs.columns
+    fp, n, spans, runs = own = [free_name(names, f"_{c}") for c in ("fp", "n", "spans", "runs")]
     at = names.index(text_col)
-    key = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_wfp", T.LongType()), T.StructField("_wn", T.LongType())])
+    key = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType()), T.StructField(n, T.LongType())])
 
     def mark(batches):
         for batch in batches:
-            raw = [x.as_buffer() if x.is_valid else b"" for x in batch.column(at)]
-            code = [c for piece in pieces(batch.column(at)) for c in _word_codes(piece)] if words else [b""] * len(raw)
-            keys = [pa.array(x, pa.int64()) for t in (raw, code) for x in ([_text_key(c)[1] for c in t], [len(c) for c in t])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[*names, "_fp", "_n", "_wfp", "_wn"])
-
-    marked = arrow(docs, mark, key).join(spans, ["_fp", "_n"], "left")
-    marked = marked.join(runs, ["_wfp", "_wn"], "left") if words else marked.withColumn("_runs", F.lit(None).cast(spans.schema["_spans"].dataType))
-    marked = marked.select(*[F.col(f"`{c}`") for c in names], "_spans", "_runs")
+            for piece in pieces(batch.column(at).cast(pa.string())):
+                keys = _keys(*_symbols(piece, searches[0]))[1]
+                yield pa.RecordBatch.from_arrays([*[c.slice(piece.lo, len(piece)) for c in batch.columns], pa.array(keys, pa.int64()), pa.array(np.diff(piece.offsets))], names=[*names, fp, n])
+
+    marked = arrow(docs, mark, key).join(changes.toDF(*own), [fp, n], "left")
+    marked = marked.select(*[F.col(f"`{c}`") for c in names], spans, runs)
     length = names.index(length_col) if length_col in names else -1
 
     def apply(batches):
         for batch in batches:
             texts, sizes = batch.column(at).to_pylist(), batch.column(length).to_pylist() if length >= 0 else None
-            for k, (spans, runs) in enumerate(zip(batch.column(len(names)), batch.column(len(names) + 1))):
-                if (spans.is_valid or runs.is_valid) and texts[k]:
+            for k, (bytes_, words_) in enumerate(zip(batch.column(len(names)), batch.column(len(names) + 1))):
+                if (bytes_.is_valid or words_.is_valid) and texts[k]:
                     raw, parts, left = texts[k].encode("utf-8"), [], 0
-                    gone = (spans.as_py() or []) + (_spans_of_words(raw, runs.as_py()) if runs.is_valid else [])
+                    gone = (bytes_.as_py() or []) + (_spans_of_words(raw, words_.as_py()) if words_.is_valid else [])
                     for x, y in zip(*(v.tolist() for v in _union(gone))):
                         while x < y and raw[x] & 0xC0 == 0x80:
                             x += 1

@@ -146,7 +146,7 @@ def test_anchors_name_every_window():
     p = suffix_dedup.RepeatParams()
     data = rng.integers(97, 100, 5000).astype(np.uint8)
     offsets = np.array([0, 399, 1200, 1200, 5000])
-    a, first, last = suffix_dedup.anchors(data, offsets, suffix_dedup.ByteHash(data), p)
+    a, first, last = suffix_dedup.anchors(len(data), offsets, suffix_dedup.ByteHash(data), p)
     starts = np.concatenate([np.arange(f, z + 1) for f, z in zip(first, last)])
     assert starts.tolist() == [*range(399, 801), *range(1200, 4601)]
     assert ((np.repeat(a, last - first + 1) - starts >= 0) & (np.repeat(a, last - first + 1) - starts <= 383)).all()
