@@ -37,4 +37,4 @@ def ship(spark: SparkSession) -> None:
     sc._gridloom_shipped = True
     if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
         # whole texts travel to Python in batches; smaller ones bound what workers hold
-        spark.conf.set(_BATCH, "16m")
+        spark.conf.set(_BATCH, "8m")
