@@ -43,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go with the write, and the plan texts that the
+#: driver keeps for its status store (of up to 1000 executions) stay short.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4000"}
 _TABLES: dict[str, tuple] = {}
 
 
@@ -56,12 +58,14 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    was = {k: spark.conf.get(k) for k in _WHILE}
     try:
+        for k, v in _WHILE.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     _TABLES[path] = (where, spark.sparkContext._jsc.hadoopConfiguration())
     if len(_TABLES) == 1:

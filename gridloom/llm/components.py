@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridloom.llm.base import cut, drop
@@ -12,8 +12,13 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges without loops, written out; their number and checksum, which the
+    write itself observes."""
+    seen = Observation()
+    fine = edges.where(F.col("u") != F.col("v")).distinct()
+    table = cut(fine.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return table, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame, part_rows: int = 200_000) -> DataFrame:
@@ -24,19 +29,17 @@ def components(edges: DataFrame, part_rows: int = 200_000) -> DataFrame:
     gathers a hub's edges. Each round's edges are written to the shared folder and read in
     parts of about part_rows; rounds go on until none changes an edge.
     """
-    e = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _mark(e)
+    e, before = _written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while before[0]:
         parts = -(-before[0] // part_rows)
-        near = e.coalesce(parts)
-        d = _directed(near).coalesce(parts)
+        d = _directed(e.coalesce(parts)).coalesce(parts)
         least = d.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = d.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        after = cut(small.coalesce(parts).where(F.col("u") != F.col("v")).distinct(), "edges")
+        after, mark = _written(small.coalesce(parts))
         drop(e)
-        e, mark = after, _mark(after)
+        e = after
         if mark == before:
             break
         before = mark

@@ -5,9 +5,9 @@ rows). Two sets that reach the threshold share a shingle within their short pref
 only prefixes meet in the join. Equal sets are one node; nodes with the same prefix and
 size form a group; group pairs pass a length and a position filter, are expanded to their
 members, and members that pass a parity filter are verified on full sets. Since only
-components are asked for, verification goes in rounds: in the first ones, each prefix
-shingle's groups of about one size meet one of them, and what links is contracted; the last
-one takes all pairs that no component holds yet.
+components are asked for, verification goes in two rounds: in the first, each prefix
+shingle's groups of about one size meet one of them, and what links is contracted; the second
+takes all pairs that no component holds yet.
 """
 
 from __future__ import annotations
@@ -31,15 +31,13 @@ _FIRST = ["f0", "f1", "f2", "f3"]
 @dataclass(frozen=True)
 class JaccardParams:
     """Link where up * intersection >= low * union, e.g. 100 and 90 for 0.9. sketch_bits
-    fixes the size of the frequency sketch (and of what is broadcast: a byte a bucket). stars:
-    rounds of few pairs before the one of all pairs that are left; they never change a result."""
+    fixes the size of the frequency sketch (and of what is broadcast: a byte a bucket)."""
 
     size: int = 3
     up: int = 100
     low: int = 90
     sketch_bits: int = 18
     cells: int = 128
-    stars: int = 2
 
 
 def frequency_classes(docs: DataFrame, text_col: str, p: JaccardParams) -> np.ndarray:
@@ -180,13 +178,15 @@ def _open(units: DataFrame, lists: DataFrame, facts: DataFrame) -> DataFrame:
     return entries.join(mixed.select("token", "inner", "low"), ["token", "inner"])
 
 
-def _star(entries: DataFrame, turn: int, p: JaccardParams) -> DataFrame:
+def _star(entries: DataFrame, p: JaccardParams) -> DataFrame:
     """(u, v): in each list, entries of about one size against one of them, the one with the
     fewest shingles before the list's own: what copies have been made of has no rare ones of
-    its own. Of two components that meet so, the pair that differs least. Turns shift the size
-    bands, so that sizes which may link share one in every other turn, and draw other hashes."""
-    step = 2 * np.log(p.up / p.low)
-    banded = entries.select("token", "inner", F.floor(F.log("n") / float(step) + 0.5 * (turn % 2)).alias("band"), F.struct("pos", F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", "rep", "n", *_PARITY).alias("y"))
+    its own. Of two components that meet so, the pair that differs least. Each entry stands in
+    two size bands, half a band apart, so that sizes which may link share one."""
+    step = float(2 * np.log(p.up / p.low))
+    size = F.log("n") / step
+    bands = F.array(2 * F.floor(size), 2 * F.floor(size + 0.5) + 1)
+    banded = entries.select("token", "inner", F.explode(bands).alias("band"), F.struct("pos", F.xxhash64("comp").alias("h"), "comp", "rep", "n", *_PARITY).alias("y"))
     keys = ["token", "inner", "band"]
     met = banded.join(banded.groupBy(*keys).agg(F.min("y").alias("x")), keys)
     met = met.where((F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", p) & _near("x", "y", p))
@@ -240,23 +240,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = lists.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("token")
     lists = cut(lists.join(shared, "token"), "lists")
 
-    # some rounds of few pairs, each contracting what it links; at last every pair of members
-    # that no component holds yet. A unit is what a group has of one component: it has the
-    # parities of its rep, and `away` is how far any other member that it stands for is
+    # one round of few pairs, whose links are contracted; then every pair of members that no
+    # component holds yet. A unit is what a group has of one component: it has the parities of
+    # its rep, and `away` is how far any other member that it stands for is
     labels = None
-    for turn in range(p.stars + 1):
-        placed = cut(_placed(member, labels), "placed")
+    for last in (False, True):
+        placed = cut(_placed(member, labels), "placed") if last else _placed(member, labels)
         units = placed.groupBy("g", "comp").agg(F.min(F.struct(F.col("node").alias("rep"), *_PARITY)).alias("r")).select("g", "comp", "r.*")
-        if turn < p.stars:
-            units = units.withColumn("away", F.lit(0))  # only reps are paired
-        else:
+        if last:
             apart = placed.alias("x").join(units.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") == F.col("y.comp")))
             units = units.join(apart.groupBy("y.g", "y.comp").agg(F.max(_apart("x", "y")).alias("away")), ["g", "comp"])
+        else:
+            units = units.withColumn("away", F.lit(0))  # only reps are paired
         entries = cut(_open(units, lists, facts), "entries")
-        pairs = cut(_star(entries, turn, p) if turn < p.stars else _rest(entries, placed, p), "pairs")
+        pairs = cut(_rest(entries, placed, p) if last else _star(entries, p), "pairs")
         links = verified(pairs, nodes, docs, id_col, text_col, p)
-        drop(placed, entries, pairs)
-        known = links if labels is None else links.union(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+        drop(entries, pairs, *[placed] * last)
+        known = links
+        if last:
+            known = links.union(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")))
         labels = components(known)
         drop(links)
     drop(nodes, member, facts, lists)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import Piece, Powers, code_points, letter_table, mix, pieces, arrow
+from gridloom.llm.base import Piece, Powers, code_points, letter_table, mix, pieces, arrow, trim
 
 
 @dataclass(frozen=True)
@@ -378,7 +378,10 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
     whole = sum(count.values())
     weight = {y: count.get(y, 0) / whole * len(parts) / max(1, drawn_of[y]) for y in (0, 1)}
     k = 1 + len(p.prefixes)
-    return fit([(y, weight[y], list(x.reshape(k, -1))) for y, x, _ in parts], p)
+    model = fit([(y, weight[y], list(x.reshape(k, -1))) for y, x, _ in parts], p)
+    del got, parts
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
