@@ -15,8 +15,8 @@ from gridloom.functions.reductions import arg_max, arg_min
 from gridloom.operators.array import Array
 from gridloom.operators.context import Context
 from gridloom.operators.kernel import KernelBuilder, Scatter
-from gridloom.plans.distribution import Permuted, Stencil, Tiles, row_blocks
-from gridloom.plans.geometry import Permutation
+from gridloom.plans.distribution import Central, Permuted, Stencil, Tiles, column_blocks, column_cyclic, row_blocks, row_cyclic
+from gridloom.plans.geometry import Permutation, Rect
 from gridloom.sources.tables import cents, column_array, embedding_matrix, events_values, order_prices, reshaped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,11 +517,12 @@ def k_write_run(c, d):
     return out
 
 
-@query("SELECT x.i AS i0, y.i AS i1, a.v FROM ev x JOIN ev y ON x.i < 20 AND y.i < 30 JOIN ev a ON a.i = x.i + y.i")
+@query("SELECT x AS i0, y AS i1, v FROM ev2")
 def j2_two_variables(c, d):
     a = ev(c, d)
-    out = c.empty((20, 30), dtype="int64")
-    kernel(c, "global [i, j] => read A[i+j], write C[i,j]", {"C": "A"}, "A", "C").launch((20, 30), a, out)
+    shape = (-(-len(a) // 100), 100)
+    out = c.empty(shape, dtype="int64")
+    kernel(c, "global [i, j] => read A[100*i+j], write C[i,j]", {"C": "A"}, "A", "C").launch(shape, a, out)
     return out
 
 
@@ -581,6 +582,123 @@ def p12_permuted(c, d):
     return keyed.groupBy(F.col("chunk").alias("t0")).agg(F.count(F.lit(1)).alias("cells"))
 
 
+@query("SELECT i AS i0, CAST(7 AS BIGINT) AS v FROM ev")
+def s3_empty_filled(c, d):
+    a = c.empty(len(ev(c, d)), dtype="int64")
+    a.fill(7)
+    return a
+
+
+@query("SELECT x AS i0, y AS i1, CAST(5 AS BIGINT) AS v FROM ev2")
+def s6_full_column_major(c, d):
+    return c.full_f(ev2(c, d).extents, 5, dtype="int64")
+
+
+@query("SELECT x AS i0, CAST(SUM(v) AS BIGINT) AS v FROM ev2 GROUP BY x")
+def s8_bulk_read(c, d):
+    sums = ev2(c, d).reduce_axis(1, "+").values()
+    return c.spark.createDataFrame(list(enumerate(sums)), "i0 long, v long")
+
+
+@query("SELECT i AS i0, v FROM ev")
+def v11_remove_axis(c, d):
+    return ev(c, d).insert_axis(0).remove_axis(0)
+
+
+@query("SELECT i - 10 AS i0, v FROM ev WHERE i >= 10")
+def v12_open_range(c, d):
+    return ev(c, d)[10:]
+
+
+@query("SELECT i AS i0, v + 1 AS v FROM ev")
+def o7_synchronized(c, d):
+    a = ev(c, d)
+    out = c.empty(len(a), dtype="int64")
+    kernel(c, "global i => read A[i], write B[i]", {"B": "A + 1"}, "A", "B").launch(len(a), a, out)
+    out.synchronize()
+    c.synchronize()
+    return out
+
+
+@query("SELECT i // 4 AS i0, v FROM ev WHERE i % 4 = 0")
+def k4_constants(c, d):
+    a = ev(c, d)
+    n = -(-len(a) // 4)
+    out = c.empty(n, dtype="int64")
+    k = KernelBuilder({"B": "A"}).param_array("A", INT64).param_array("B", INT64).define("N", 4).annotate("global i => read A[N*i], write B[i]").compile(c)
+    k.launch(n, a, out)
+    return out
+
+
+@query("SELECT i AS i0, 2 * v AS v FROM ev")
+def k5_debugging(c, d):
+    a = ev(c, d)
+    out = c.empty(len(a), dtype="int64")
+    k = KernelBuilder({"B": "2 * A"}).param_array("A", INT64).param_array("B", INT64).debugging().annotate("global i => read A[i], write B[i]").compile(c)
+    k.launch(len(a), a, out)
+    return out
+
+
+@query("SELECT i AS i0, 3 * v + 4 AS v FROM ev")
+def k8_launch_one(c, d):
+    a = ev(c, d)
+    out = c.empty(len(a), dtype="int64")
+    kernel(c, "global i => read A[i], write B[i]", {"B": "A * s + t"}, "A", "B", values=("s", "t")).launch_one(len(a), a, out, 3, 4)
+    return out
+
+
+@query("SELECT i AS i0, -v AS v FROM ev")
+def k9_launch_like(c, d):
+    a = ev(c, d).distributed(row_blocks(4))
+    out = c.empty(len(a), dtype="int64")
+    kernel(c, "global i => read A[i], write B[i]", {"B": "-A"}, "A", "B").launch_like(a, a, out)
+    return out
+
+
+@query("SELECT i AS i0, v + 5 AS v FROM ev")
+def k10_superblocks(c, d):
+    a = ev(c, d)
+    out = c.empty(len(a), dtype="int64")
+    half = len(a) // 128 * 64
+    boxes = [(0, Rect((0,), (half,))), (1, Rect((half,), (len(a),)))]
+    kernel(c, "global i => read A[i], write B[i]", {"B": "A + 5"}, "A", "B").launch_distribution(len(a), boxes, a, out, block=64)
+    return out
+
+
+@query("SELECT CAST(0 AS BIGINT) AS chunk, MIN(i) AS lo0, MAX(i) + 1 AS hi0 FROM ev")
+def p1_central(c, d):
+    return ev(c, d).distributed(Central()).regions().select("chunk", "lo0", "hi0")
+
+
+@query("SELECT x // 16 AS chunk, MIN(x) AS lo0, MAX(x) + 1 AS hi0 FROM ev2 GROUP BY x // 16")
+def p4_row_cyclic(c, d):
+    return ev2(c, d).distributed(row_cyclic(16)).regions().select("chunk", "lo0", "hi0")
+
+
+@query("SELECT y // 30 AS chunk, MIN(y) AS lo1, MAX(y) + 1 AS hi1 FROM ev2 GROUP BY y // 30")
+def p6_column_cyclic(c, d):
+    return ev2(c, d).distributed(column_cyclic(30)).regions().select("chunk", "lo1", "hi1")
+
+
+@query("SELECT y // 34 AS chunk, MIN(y) AS lo1, MAX(y) + 1 AS hi1 FROM ev2 GROUP BY y // 34")
+def p7_column_blocks(c, d):
+    return ev2(c, d).distributed(column_blocks(3)).regions().select("chunk", "lo1", "hi1")
+
+
+@query("SELECT c0 * 4 + c1 AS chunk, COUNT(*) AS cells FROM ev2 JOIN (SELECT DISTINCT x // 20 AS c0, y // 25 AS c1 FROM ev2) c ON x >= c0 * 20 - 1 AND x < c0 * 20 + 21 AND y >= c1 * 25 - 2 AND y < c1 * 25 + 27 GROUP BY c0, c1")
+def p9_stencil_2d(c, d):
+    a = ev2(c, d)
+    return Stencil((20, 25), (1, 2)).with_halo(a.frame(), a.extents).groupBy("chunk").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("SELECT x // 16 * 4 + y // 32 AS chunk, (x // 16 * 4 + y // 32) % 4 AS place FROM ev2 GROUP BY x // 16, y // 32")
+def p14_affinity(c, d):
+    a = ev2(c, d).distributed(Tiles((16, 32)))
+    c.places = 4
+    corners = a.regions().select("chunk", "lo0", "lo1").collect()  # a row a chunk
+    return c.spark.createDataFrame([(r["chunk"], a.affinity(r["lo0"], r["lo1"])) for r in corners], "chunk long, place long")
+
+
 def t4_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan trace of a launch, as rows."""
     c = Context(spark)
