@@ -261,11 +261,10 @@ def host_of(url: str | None) -> str:
 @dataclass(frozen=True)
 class HtmlParams:
     """paths: how many of a host's paths, by votes, are tried on a page; a path needs
-    least_share of its host's votes. salts: parts in which each host's pages meet its paths."""
+    least_share of its host's votes."""
 
     paths: int = 3
     least_share: float = 0.05
-    salts: int = 32
 
 
 def votes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
@@ -300,10 +299,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text, n_chars, path) of every page.
 
     Null or empty html gives an empty text; pages with a null or invalid url share the host
-    of no name. Rows that repeat are repeated; an empty table is empty. path is the path used.
+    of no name. Rows that repeat are repeated; an empty table is empty. Paths with as many votes
+    rank by text, then by name; other columns, whatever their names, play no part. path is the
+    path used.
     """
     p = params or HtmlParams()
-    winners = winning_paths(votes(pages, url_col, html_col), p).withColumnRenamed("host", "_host")
+    # a table of its own: Spark knows its size, broadcasts it where that is small, and otherwise
+    # splits a host whose pages fill a partition, as it can where both sides are shuffled anew
+    winners = cut(winning_paths(votes(pages, url_col, html_col), p).withColumnRenamed("host", "_host"), "paths")
     kind = pages.schema[id_col].dataType.simpleString()
     url = F.col(url_col).cast("string")
 
@@ -330,7 +333,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(used, pa.string())], ["id", "url", "text", "n_chars", "path"])
 
     placed = arrow(pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html")), hosts, f"id {kind}, url string, html string, _host string")
-    # a host may hold a third of all pages: they are dealt over parts that each get its paths
-    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("id", "url"), F.lit(p.salts)).cast("int"))
-    winners = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
-    return arrow(placed.join(winners, ["_host", "_salt"], "left").select("id", "url", "html", "paths"), run, f"id {kind}, url string, text string, n_chars long, path string")
+    return arrow(placed.join(winners, "_host", "left").select("id", "url", "html", "paths"), run, f"id {kind}, url string, text string, n_chars long, path string")
