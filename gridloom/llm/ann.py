@@ -140,9 +140,10 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
     if size is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == size["d"])
-    salted = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    salted = salted.select("v", F.slice("ids", 1, p.k + 1).alias("ids"))
-    unique = cut(salted.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, p.k + 1).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v"), "vectors")
+    # a vector may be that of a third of all rows: only its k+1 least ids leave each of 64 parts
+    part = Window.partitionBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
+    least = rows.withColumn("r", F.dense_rank().over(part)).where(F.col("r") <= p.k + 1)
+    unique = cut(least.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, p.k + 1).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v"), "vectors")
 
     n = unique.count()
     picked = unique.orderBy(F.xxhash64("rep"), "rep").limit(p.fit_rows).select("ids", "v").toPandas()
