@@ -327,3 +327,27 @@ def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert {f"op{k}" for k in range(1, 11)} <= {n.split("_")[0] for n in names}
     assert "pipeline" in names
+
+
+def test_passages_of_words(make_docs):
+    """Runs of 51 words count whatever stands between the words; 50 don't."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared, short = [word() for _ in range(53)], [word() for _ in range(50)]
+    own = lambda: [word() for _ in range(30)]
+    rows = [(1, " ".join(own() + shared + own())), (2, "\n ".join(own() + shared)), (3, " ".join(short + own())), (4, " ".join(own() + short)), (5, None), (6, "")]
+    got = {r["id"]: (r["n_passages"], r["passage_words"]) for r in suffix_dedup.repeat_report(make_docs(rows), words=suffix_dedup.WORDS_51).collect()}
+    assert got == {1: (1, 53), 2: (1, 53), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
+
+
+def test_families_at_the_threshold(make_docs):
+    """Copies with nought to three words changed, many pairs of which just miss the threshold."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(120), rng.choice([0, 1, 2, 3])):
+            words[k] = f"z{i}_{k}"
+        rows.append((i, " ".join(words)))
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(make_docs(rows)).collect())
+    assert got == sorted(jaccard.brute_force(rows))
