@@ -127,6 +127,19 @@ def test_bpe_equals_the_library(spark, make_docs, odd_texts):
     assert bpe.decode(bpe.encode(docs.where("false"), VOCABULARY), VOCABULARY).count() == 0
 
 
+def test_frequent_runs_are_whole_bands(spark, make_docs):
+    texts = [" ".join(f"w{k}" for k in range(200) if k % (i + 1) == 0) for i in range(40)] + [None, "", "x" * 70]
+    counts = bpe.run_counts(make_docs([*enumerate(texts)]), "text")
+    n = {bytes(r["run"]): r["n"] for r in counts.collect()}
+    for size in (1, 30, 100, 1000):
+        top = bpe.frequent_runs(counts, size)
+        assert len(top) == len(set(top)) <= size
+        usable = {w for w in n if n[w] > 1 and len(w) <= 64}
+        assert all(n[a] > n[b] for a in top for b in usable - set(top))
+        assert len(top) == len(usable) or len(top) + sum(n[w] == max(n[v] for v in usable - set(top)) for w in usable - set(top)) > size
+    assert bpe.frequent_runs(counts.where("false"), 5) == []
+
+
 def test_transducer(tmp_path):
     words = sorted({b"car", b"cars", b"cart", b"bar", b"bars", b"", b"\xff\x00", b"star", b"stars"} - {b""})
     raw = build(words, [[k, k + 1] for k in range(len(words))])
