@@ -22,14 +22,14 @@ from gridloom.llm.base import Piece, code_points, letter_table, pieces, arrow
 
 @dataclass(frozen=True)
 class LangParams:
-    """rows_per_lang bounds the fitting sample, max_langs the number of classes (the most
-    frequent ones are learned); a quarter of the sample calibrates the temperature."""
+    """rows_per_lang bounds the fitting sample of each language, fit_rows that of all together
+    (with many languages each has an equal share of it, one row at least). Texts are used
+    whole, every language is learned; a quarter of the sample calibrates the temperature."""
 
     sizes: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
     rows_per_lang: int = 500
-    max_langs: int = 200
-    max_chars: int = 20_000
+    fit_rows: int = 50_000
     epochs: int = 4
     alpha: float = 0.5
     beta: float = 1.0
@@ -130,7 +130,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], langs: list[str], idf: n
     rows: language, feature numbers (flat over sizes) and their counts."""
     width = (1 << p.bits) + 1
     flat = idf.reshape(-1)
-    y = np.array([langs.index(r[0]) for r in rows])
+    place = {lang: i for i, lang in enumerate(langs)}
+    y = np.array([place[r[0]] for r in rows])
     xs = []
     for _, ids, n in rows:
         v = n * flat[ids]
@@ -186,18 +187,19 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     are none. Sampled rows are those of the smallest hash of their text, per language."""
     p = params or LangParams()
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), usable.alias("ok")).where("ok and text is not null and lang is not null").select("text", "lang")
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.length("text") <= p.max_chars, 1)).alias("m")).orderBy(F.desc("n"), "lang").limit(p.max_langs).collect()
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
     if not found:
         return None
     df, total = document_frequencies(rows, "text", p)
     idf = np.log((1 + total) / (1 + df)) + 1
     idf[:, -1] = 0
     width = (1 << p.bits) + 1
-    share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * p.rows_per_lang / max(1, r["m"]))))])
+    own = min(p.rows_per_lang, max(1, p.fit_rows // len(found)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max(60.0, 1.5 * own) / r["n"])) for r in found], "lang string, share double")
     h = F.xxhash64("text")
-    drawn = rows.where((F.length("text") <= p.max_chars) & ((F.pmod(h, F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")])).withColumn("h", h)
+    drawn = rows.join(F.broadcast(share), "lang").where((F.pmod(h, F.lit(1 << 20)) / float(1 << 20)) < F.col("share")).select("lang", "text", h.alias("h"))
     best = Window.partitionBy("lang").orderBy("h")
-    drawn = drawn.dropDuplicates(["h", "lang"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= p.rows_per_lang).select("lang", "text")
+    drawn = drawn.dropDuplicates(["h", "lang"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= own).select("lang", "text")
 
     def features(batches):
         for batch in batches:
@@ -214,7 +216,8 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(out_i, pa.list_(pa.int32())), pa.array(out_n, pa.list_(pa.int32()))], ["lang", "ids", "n"])
 
     sample = arrow(drawn, features, "lang string, ids array<int>, n array<int>").toArrow().sort_by([("lang", "ascending")])
-    rows_ = sorted(((r["lang"], np.array(r["ids"], np.int64), np.array(r["n"], float)) for r in sample.to_pylist()), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+    rows_ = [(lang, np.asarray(i.values, np.int64), np.asarray(n.values, float)) for lang, i, n in zip(sample.column("lang").to_pylist(), sample.column("ids"), sample.column("n"))]
+    rows_.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     langs = sorted({r[0] for r in rows_}) or sorted(r["lang"] for r in found)
     return fit(rows_, langs, idf, p)
 
@@ -226,7 +229,7 @@ def identify(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id", t
     nothing to learn from. Ids pass as they are; repeated rows repeat; an empty table is empty.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # buckets x languages, fixed by the parameters
+    held = spark.sparkContext.broadcast(model)  # buckets x languages
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches):
