@@ -22,21 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.base import Piece, Powers, code_points, letter_table, mix, pieces, arrow, trim
+from gridloom.llm.base import Piece, Powers, arrow, code_points, cut, drop, letter_table, mix, pieces, trim
 
 
 @dataclass(frozen=True)
 class ToxicParams:
-    """toxic_rows and clean_rows bound the fitting sample (texts of at most max_chars), whose
-    size is all that the driver holds; a quarter of it calibrates the score, and chain_rows of
-    each class fit the chain. threshold: predicted is 1 from this score on."""
+    """toxic_rows and clean_rows bound the fitting sample of labelled rows, whose texts are used
+    whole; a quarter of it calibrates the score. Of the rest, chain_rows of each class fit the
+    chain, and no further ones once these hold chain_tokens tokens; they are taken in segments
+    of so many tokens. threshold: predicted is 1 from this score on."""
 
     toxic_rows: int = 600
     clean_rows: int = 1000
     chain_rows: int = 250
-    max_chars: int = 8_000
+    chain_tokens: int = 500_000
+    segment: int = 512
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
-    max_features: int = 4096
     least_evidence: float = 22.0
     least_ratio: float = 6.0
     steps: int = 60
@@ -269,63 +270,67 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35))), words, row, i, m
 
 
-def choose_features(docs: list[list[np.ndarray]], toxic: np.ndarray, p: ToxicParams) -> np.ndarray:
-    """Features whose documents are toxic far more often than others, by log-likelihood ratio."""
-    u = [np.unique(np.concatenate(d)) for d in docs]
-    count = []
-    for c in (1, 0):
-        part = [x for x, t in zip(u, toxic) if t == c]
-        count.append(np.unique(np.concatenate(part), return_counts=True) if part else (np.zeros(0, np.uint64), np.zeros(0, int)))
-    del u
-    keys, ones = count[0][0], count[0][1].astype(float)  # a feature of clean documents alone is of no use
-    at = np.minimum(np.searchsorted(count[1][0], keys), max(0, len(count[1][0]) - 1))
-    zeros = np.where(count[1][0][at] == keys, count[1][1][at], 0).astype(float) if len(count[1][0]) else np.zeros(len(keys))
-    n1, n0 = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
-    n = ones + zeros
-    e1, e0 = n * n1 / (n1 + n0), n * n0 / (n1 + n0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(ones > 0, ones * np.log(ones / e1), 0) + np.where(zeros > 0, zeros * np.log(zeros / e0), 0))
-    ratio = (ones / n1) / ((zeros + 0.5) / n0)
-    floor = min(p.least_evidence, 6 + 0.02 * n1 * 10)
-    ok = np.flatnonzero((g >= floor) & (ratio >= p.least_ratio) & (keys != 0))
-    ok = ok[np.argsort(-g[ok], kind="stable")][: p.max_features]
-    return np.sort(keys[ok])
-
-
-def fit(sample: list[tuple[int, float, list[np.ndarray]]], p: ToxicParams) -> ToxicModel:
-    """sample: (toxic, weight, feature hashes: one array for the words and each prefix size)."""
-    rng = np.random.default_rng(p.seed)
-    order = rng.permutation(len(sample))
-    held = order[: len(order) // 4]
-    kept = order[len(order) // 4 :]
-    toxic = np.array([s[0] for s in sample], float)
-    keys = choose_features([sample[i][2] for i in kept], toxic[kept], p) if len(kept) else np.zeros(0, np.uint64)
-    lexicon = Lexicon(keys)
-
-    def found(i: int) -> tuple[np.ndarray, np.ndarray]:
-        t, f = zip(*[lexicon.find(h) for h in sample[i][2]])
-        return np.concatenate(t), np.concatenate(f)
+def choose_features(table: DataFrame, n1: int, n0: int, p: ToxicParams) -> np.ndarray:
+    """Features whose documents are toxic far more often than others, by log-likelihood ratio.
+    table: (y, hashes) of n1 toxic and n0 other documents; a feature counts once in each."""
+    one, zero = F.col("ones"), F.col("zeros")
+    a, b = float(max(1, n1)), float(max(1, n0))
+    n = one + zero
+    g = 2 * (one * F.log(one / (n * a / (a + b))) + F.when(zero > 0, zero * F.log(zero / (n * b / (a + b)))).otherwise(0.0))
+    floor = min(p.least_evidence, 6 + 0.02 * a * 10)
+    found = table.select("y", F.explode(F.array_distinct("hashes")).alias("key")).where("key != 0")
+    found = found.groupBy("key").agg(F.sum(F.col("y").cast("double")).alias("ones"), F.sum(1.0 - F.col("y")).alias("zeros"))
+    # a feature of clean documents alone is of no use
+    found = found.where((one > 0) & (g >= floor) & (one / a / ((zero + 0.5) / b) >= p.least_ratio))
+    return np.sort(found.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
+
+@dataclass
+class Marked:
+    """A document of the sample: its label, weight, number of tokens, and the tokens with
+    chosen features (token of each feature, feature)."""
+
+    toxic: int
+    weight: float
+    tokens: int
+    token: np.ndarray
+    feature: np.ndarray
+
+
+def _segments(doc: Marked, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A document as rows of fit_chain; its tokens with features are toxic if it is."""
+    out = []
+    for lo in range(0, doc.tokens, size):
+        own = (doc.token >= lo) & (doc.token < lo + size)
+        lab = np.zeros(min(size, doc.tokens - lo), np.int8)
+        t = doc.token[own] - lo
+        lab[t] = doc.toxic
+        out.append((t, doc.feature[own], lab))
+    return out
+
+
+def fit(sample: list[Marked], kept: np.ndarray, held: np.ndarray, lexicon: Lexicon, p: ToxicParams) -> ToxicModel:
+    """The chain from the documents numbered in kept, the score's weights from those in held."""
+    toxic = np.array([s.toxic for s in sample], float)
     rows = []
-    for i in np.concatenate([kept[toxic[kept] == c][: p.chain_rows] for c in (0, 1)]) if len(kept) else []:
-        t, f = found(i)
-        lab = np.zeros(len(sample[i][2][0]), np.int8)
-        if toxic[i]:
-            lab[t] = 1
-        if len(lab):
-            rows.append((t, f, lab))
+    for c in (0, 1):
+        room = p.chain_tokens
+        for i in kept[toxic[kept] == c][: p.chain_rows] if len(kept) else []:
+            if room <= 0:
+                break
+            rows += _segments(sample[i], p.segment)
+            room -= sample[i].tokens
+    keys, order = lexicon.keys, np.concatenate([held, kept])
     chain = fit_chain(rows, len(keys), p)
     test = held if len(held) >= 40 and 0 < toxic[held].sum() < len(held) else order
     x = np.zeros((len(test), 4))
     for k, i in enumerate(test):
-        t, f = found(i)
-        n = len(sample[i][2][0])
-        s = np.full(n, chain.bias)
-        np.add.at(s, t, chain.w[f])
-        at = np.unique(t)
-        m = chain.marginals(np.zeros(len(at), np.int64), at, s[at], np.array([n]))
-        x[k] = _summary(np.zeros(len(at), np.int64), m, np.array([n]))[0]
-    y, weight = toxic[test], np.array([sample[i][1] for i in test])
+        d = sample[i]
+        at, place = np.unique(d.token, return_inverse=True)
+        s = chain.bias + np.bincount(place, weights=chain.w[d.feature], minlength=len(at))
+        row, n = np.zeros(len(at), np.int64), np.array([d.tokens])
+        x[k] = _summary(row, chain.marginals(row, at, s, n), n)[0]
+    y, weight = toxic[test], np.array([sample[i].weight for i in test])
     b = np.zeros(4)
     for _ in range(30):  # Newton steps with a small ridge
         q = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
@@ -352,34 +357,59 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
     part = F.pmod(h, F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("y") > 0, F.lit(min(1.0, 2 * p.toxic_rows / max(1, count.get(1, 0))))).otherwise(F.lit(min(1.0, 2 * p.clean_rows / max(1, count.get(0, 0)))))
     few = marks.where(part < share).withColumn("y", (F.col("y") > 0).cast("int")).withColumn("h", h)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= p.max_chars).join(F.broadcast(few), "id")  # few: about twice the sample at most
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(few), "id")  # few: about twice the sample at most
     some = some.dropDuplicates(["id"])
     w = Window.partitionBy("y").orderBy("h", "id")
     drawn = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.when(F.col("y") > 0, p.toxic_rows).otherwise(p.clean_rows)).select("y", "text")
 
+    k = 1 + len(p.prefixes)
+
     def features(batches):
         for batch in batches:
             for piece in pieces(batch.column(1)):
                 words = words_of(piece, p.prefixes)
                 flat = []
-                for k in range(len(piece)):
-                    a, b = words.first[k], words.first[k + 1]
-                    flat.append(np.concatenate([x[a:b] for x in words.hashes]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(flat, pa.list_(pa.int64()))], ["y", "hashes"])
-
-    got = arrow(drawn, features, "y int, hashes array<long>").toArrow()
-    parts = []
-    for y, v in zip(got.column("y").to_pylist(), got.column("hashes")):
-        x = np.asarray(v.values).view(np.uint64)
-        parts.append((y, x, hashlib.sha256(x).digest()))
-    parts.sort(key=lambda r: (r[0], r[2]))
-    parts = [x for i, x in enumerate(parts) if not i or x[2] != parts[i - 1][2]]  # copies count once
-    drawn_of = {y: sum(1 for x in parts if x[0] == y) for y in (0, 1)}
+                for i in range(len(piece)):
+                    lo, hi = words.first[i], words.first[i + 1]
+                    flat.append(np.concatenate([x[lo:hi] for x in words.hashes]).view(np.int64))
+                digest = [hashlib.sha256(x).hexdigest() for x in flat]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(digest, pa.string()), pa.array(flat, pa.list_(pa.int64()))], ["y", "digest", "hashes"])
+
+    # copies count once; whole texts stay on the executors, the driver gets labels and what is found
+    table = cut(arrow(drawn, features, "y int, digest string, hashes array<long>").dropDuplicates(["y", "digest"]), "labelled")
+    heads = sorted((r["y"], r["digest"]) for r in table.select("y", "digest").collect())
+    order = np.random.default_rng(p.seed).permutation(len(heads))
+    held, kept = order[: len(order) // 4], order[len(order) // 4 :]
+    keys = np.zeros(0, np.uint64)
+    if len(kept):
+        mine = docs.sparkSession.createDataFrame([heads[i] for i in kept], "y int, digest string")
+        n1 = sum(heads[i][0] for i in kept)
+        keys = choose_features(table.join(F.broadcast(mine), ["y", "digest"], "left_semi"), n1, len(kept) - n1, p)
+    lexicon = docs.sparkSession.sparkContext.broadcast(Lexicon(keys))  # features of the sample
+
+    def found(batches):
+        known = lexicon.value
+        for batch in batches:
+            n, token, feature = [], [], []
+            for x in batch.column(2):
+                hashes = np.asarray(x.values).view(np.uint64).reshape(k, -1)
+                n.append(hashes.shape[1])
+                t, f = zip(*[known.find(h) for h in hashes])
+                token.append(np.concatenate(t))
+                feature.append(np.concatenate(f))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(token, lists), pa.array(feature, lists)], ["y", "digest", "n", "token", "feature"])
+
+    got = arrow(table, found, "y int, digest string, n long, token array<long>, feature array<long>").toArrow()
     whole = sum(count.values())
-    weight = {y: count.get(y, 0) / whole * len(parts) / max(1, drawn_of[y]) for y in (0, 1)}
-    k = 1 + len(p.prefixes)
-    model = fit([(y, weight[y], list(x.reshape(k, -1))) for y, x, _ in parts], p)
-    del got, parts
+    weight = {y: count.get(y, 0) / whole * len(heads) / max(1, sum(1 for h in heads if h[0] == y)) for y in (0, 1)}
+    sample = {}
+    for y, digest, n, t, f in zip(*[got.column(c).to_pylist() for c in ("y", "digest", "n")], got.column("token"), got.column("feature")):
+        sample[y, digest] = Marked(y, weight[y], n, np.asarray(t.values, np.int64), np.asarray(f.values, np.int64))
+    model = fit([sample[h] for h in heads], kept, held, lexicon.value, p)
+    drop(table)
+    lexicon.destroy()
+    del got, sample
     trim()
     return model
 
@@ -391,7 +421,7 @@ def score(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", tex
     empty texts get the score of a text without findings. Without a model all scores are 0.
     Repeated rows repeat; an empty table is empty.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
+    held = docs.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

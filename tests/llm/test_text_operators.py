@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, licenses, media, toxicity
 from gridloom.llm.base import pieces, split_of, split_of_value
-from gridloom.llm.language_id import identify, train
+from gridloom.llm.language_id import LangParams, identify, train
 from gridloom.llm.transducer import Transducer, build
 
 from .conftest import DE, EN, prose
@@ -55,6 +55,32 @@ def test_language(spark, make_docs, corpus, odd_texts):
     assert identify(empty, model).count() == 0 and identify(docs, None).where("lang_pred = 'und' and score = 0").count() == 162
 
 
+def test_every_language_is_learned_from_whole_texts(make_docs):
+    """More languages than rows allow for, one of them in a single text of 60,000 characters."""
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3, f"l{i:03d}") for i in range(230)]
+    docs = make_docs(rows + [(999, "zzyzx qoph " * 5500, "long")])
+    model = train(docs, F.lit(True), params=LangParams(fit_rows=40, epochs=1, bits=8))
+    assert model.langs == sorted({r[2] for r in rows} | {"long"})
+
+
+def test_toxic_labels_of_any_length(spark, make_docs):
+    """The word that marks toxic documents stands in texts of 50,000 characters alone."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        words = prose(rng, EN, 9000 if i % 2 else 60).split()
+        if i % 2:
+            for _ in range(400):
+                words.insert(rng.randrange(len(words)), "grunkish")
+        rows.append((i, " ".join(words)))
+    docs = make_docs(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, lambda c: F.lit(True), params=toxicity.ToxicParams(chain_tokens=20_000))
+    assert len(model.lexicon.keys) and len(rows[1][1]) > 50_000
+    got = {r["id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert got == {i: i % 2 for i in range(60)}
+
+
 def test_toxicity(spark, make_docs, odd_texts):
     rng = random.Random(2)
     bad = ["grunk", "vilefly"]
