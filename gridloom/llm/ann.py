@@ -21,23 +21,28 @@ from gridloom.llm.base import cut
 
 @dataclass(frozen=True)
 class AnnParams:
-    """fit_rows bounds the sample on the driver; chunk and block bound one task's rows."""
+    """Lists hold rows_per_list rows, or the square root of all rows where that is more. The
+    fitting sample has list_sample rows for each list, least_fit at least and fit_rows at most
+    (the bound on the driver, which also bounds the lists). chunk_rows and query_block bound
+    one task's rows."""
 
     k: int = 5
-    fit_rows: int = 8192
-    max_lists: int = 256
+    least_fit: int = 8192
+    fit_rows: int = 262_144
+    list_sample: int = 32
     rows_per_list: int = 160
     column_block: int = 16
     epsilon: float = 2.1
     recall_goal: float = 0.97
     chunk_rows: int = 4096
-    query_block: int = 512
+    query_block: int = 4096
+    scan_rows: int = 512
     seed: int = 7
 
 
 @dataclass
 class Index:
-    """What is broadcast: a few hundred centroids, a rotation and sample vectors for first bounds."""
+    """What is broadcast: the centroids, a rotation and sample vectors for first bounds."""
 
     centroids: np.ndarray
     rotation: np.ndarray
@@ -54,24 +59,63 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column])
 
 
+def nearest(u: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Row of c with the largest product for each row of u, in slices of bounded memory."""
+    step = max(1, (1 << 22) // len(c))
+    return np.concatenate([np.argmax(u[i : i + step] @ c.T, axis=1) for i in range(0, len(u), step)] or [np.zeros(0, np.int64)])
+
+
+def _means(u: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centroids of spherical k-means over unit rows, k <= len(u)."""
+    c = u[rng.choice(len(u), k, replace=False)].copy()
+    for _ in range(10):
+        near = nearest(u, c)
+        order = np.argsort(near, kind="stable")
+        held, first = np.unique(near[order], return_index=True)
+        total = np.add.reduceat(u[order], first, axis=0)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c[held] = np.where(norm > 1e-12, total / np.maximum(norm, 1e-12), c[held])
+    return c
+
+
+def centroids(u: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+    """About `lists` centroids in two levels: those of a coarse clustering are split by their
+    shares of the sample, so fitting costs the sample times the root of the lists."""
+    if lists <= 256:
+        return _means(u, lists, rng)
+    near = nearest(u, rough := _means(u, int(np.sqrt(lists)), rng))
+    parts = []
+    for g in range(len(rough)):
+        own = u[near == g]
+        if len(own):
+            parts.append(_means(own, min(len(own), max(1, round(lists * len(own) / len(u)))), rng))
+    return np.concatenate(parts)
+
+
+def sample_rows(rows: int, p: AnnParams) -> int:
+    """Size of the fitting sample of a table of so many distinct vectors."""
+    return int(min(p.fit_rows, max(p.least_fit, p.list_sample * list_count(rows, p))))
+
+
+def list_count(rows: int, p: AnnParams) -> int:
+    return max(1, int(rows // max(p.rows_per_list, np.sqrt(rows))))
+
+
 def fit(ids: list, sample: np.ndarray, rows: int, p: AnnParams) -> Index:
     """Spherical k-means on the sample, and the fewest probes that reach the recall goal
     on the sample's own exact neighbours (which lie farther apart than in the full set)."""
     rng = np.random.default_rng(p.seed)
     u = _unit(sample)
-    lists = int(np.clip(rows // p.rows_per_list, 1, min(p.max_lists, max(1, len(u) // 32))))
-    c = u[rng.choice(len(u), lists, replace=False)].copy()
-    for _ in range(10):
-        near = np.argmax(u @ c.T, axis=1)
-        total = np.zeros_like(c)
-        np.add.at(total, near, u)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        c = np.where(norm > 1e-12, total / np.maximum(norm, 1e-12), c)
-    near = np.argmax(u @ c.T, axis=1)
+    c = centroids(u, min(list_count(rows, p), max(1, len(u) // p.list_sample)), rng)
+    lists = len(c)
+    near = nearest(u, c)
     asks = rng.choice(len(u), min(len(u), 400), replace=False)
-    sims = u[asks] @ u.T
-    sims[np.arange(len(asks)), asks] = -9
-    best = np.argpartition(-sims, min(p.k, sims.shape[1] - 1) - 1, axis=1)[:, : p.k] if len(u) > 1 else np.zeros((len(asks), 0), int)
+    best = np.zeros((len(asks), min(p.k, len(u) - 1)), int)
+    for i in range(0, len(asks), 16) if len(u) > 1 else ():  # few rows of the sample's size at once
+        some = asks[i : i + 16]
+        sims = u[some] @ u.T
+        sims[np.arange(len(some)), some] = -9
+        best[i : i + 16] = np.argpartition(-sims, best.shape[1] - 1, axis=1)[:, : best.shape[1]]
     order = np.argsort(-(u[asks] @ c.T), axis=1)
     rank = np.argsort(order, axis=1)
     probes = lists
@@ -146,14 +190,14 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
     unique = cut(least.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, p.k + 1).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v"), "vectors")
 
     n = unique.count()
-    picked = unique.orderBy(F.xxhash64("rep"), "rep").limit(p.fit_rows).select("ids", "v").toPandas()
+    picked = unique.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows(n, p)).select("ids", "v").toPandas()
     index = spark.sparkContext.broadcast(fit(picked["ids"].tolist(), _matrix(picked["v"]), n, p))
 
     def assign(batches):
         ix = index.value
         for pdf in batches:
             if len(pdf):
-                pdf["list"] = np.argmax(_unit(_matrix(pdf["v"])) @ ix.centroids.T, axis=1).astype(np.int32)
+                pdf["list"] = nearest(_unit(_matrix(pdf["v"])), ix.centroids).astype(np.int32)
                 yield pdf
 
     placed = cut(unique.mapInPandas(assign, "rep long, ids array<long>, v array<double>, list int"), "lists")
@@ -166,9 +210,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
         ix = index.value
         size_of = np.array([counts.get(i, 0) for i in range(len(ix.centroids))])
         seeds = _unit(ix.seeds)
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (b.iloc[i : i + p.scan_rows] for b in batches for i in range(0, len(b), p.scan_rows)):
             u = _unit(_matrix(pdf["v"]))
             order = np.argsort(-(u @ ix.centroids.T), axis=1, kind="stable")
             # more lists where the nearest ones hold too few rows to fill k places
@@ -178,12 +220,12 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
             kth = np.full(len(u), -1.0)
             if sims.shape[1] > p.k:  # one of the k+1 may be the query itself
                 kth = -np.partition(-sims, p.k, axis=1)[:, p.k]
-            yield pd.DataFrame({"ask": pdf["ask"], "v": pdf["v"], "bound": 2 - 2 * kth, "list": [order[i, : take[i]].astype(np.int32) for i in range(len(u))]})
+            yield pd.DataFrame({"ask": pdf["ask"].to_numpy(), "v": pdf["v"].to_numpy(), "bound": 2 - 2 * kth, "list": [order[i, : take[i]].astype(np.int32) for i in range(len(u))]})
 
     probed = asks.mapInPandas(probe, "ask long, v array<double>, bound double, list array<int>").select("ask", "v", "bound", F.explode("list").alias("list"))
     per_list = probed.groupBy("list").agg(F.count(F.lit(1)).alias("m"))
     layout = per_list.join(F.broadcast(chunks), "list").select("list", "chunks", F.ceil(F.col("m") / p.query_block).cast("int").alias("blocks"))
-    layout = F.broadcast(cut(layout, "layout"))  # one row a list, at most max_lists
+    layout = F.broadcast(cut(layout, "layout"))  # one row a list, fit_rows / list_sample at most
     left = placed.join(layout, "list").select("list", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "ids", "v")
     right = probed.join(layout, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("ask"), "blocks").cast("int").alias("block"), "ask", "bound", F.col("v").alias("q"))
 
@@ -193,8 +235,12 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
             return none
         a = a.sort_values("rep")
         x, q = _matrix(a["v"]), _matrix(b["q"])
-        r, c = scan(q, b["bound"].to_numpy(), x, index.value.rotation, p)
-        score = exact_cosine(q[r], x[c])
+        bound, found = b["bound"].to_numpy(), []
+        for i in range(0, len(q), p.scan_rows):
+            own = slice(i, i + p.scan_rows)
+            r, c = scan(q[own], bound[own], x, index.value.rotation, p)
+            found.append((r + i, c, exact_cosine(q[r + i], x[c])))
+        r, c, score = (np.concatenate(part) for part in zip(*found))
         order = np.lexsort((c, -score, r))
         r, c, score = r[order], c[order], score[order]
         first = np.searchsorted(r, np.arange(len(q)))

@@ -263,6 +263,26 @@ def test_nearest_vectors(spark):
     assert ann.search(few.where("false")).count() == 0
 
 
+def test_lists_grow_with_the_root_of_the_table():
+    p = ann.AnnParams()
+    assert [ann.list_count(n, p) for n in (0, 100, 10_000, 1_000_000, 10**10)] == [1, 1, 62, 1000, 100_000]
+    assert [ann.sample_rows(n, p) for n in (10_000, 1_000_000, 10**10)] == [8192, 32_000, 262_144]
+    rng = np.random.default_rng(2)
+    hubs = rng.standard_normal((300, 16)) * 3
+    x = hubs[rng.integers(0, 300, 12_000)] + rng.standard_normal((12_000, 16))
+    u = ann._unit(x)
+    c = ann.centroids(u, 375, rng)
+    assert 350 <= len(c) <= 400 and np.allclose(np.linalg.norm(c, axis=1), 1)
+    index = ann.fit([[i] for i in range(12_000)], x, 375 * 375, p)
+    near, home = ann.nearest(u, index.centroids), ann.nearest(u[:200], index.centroids)
+    assert (near[:200] == home).all() and index.probes < len(index.centroids) // 4
+    probed = np.argsort(-(u[:200] @ index.centroids.T), axis=1)[:, : index.probes]
+    sims = u[:200] @ u.T
+    sims[np.arange(200), np.arange(200)] = -9
+    best = np.argsort(-sims, axis=1)[:, :5]
+    assert np.mean([[near[j] in probed[i] for j in best[i]] for i in range(200)]) >= 0.95
+
+
 ARTICLE = "<p>First &amp; second\n words.<p>Third <b>bold</b><i>joined</i> text&nbsp;here<br>after a break.</p><ul><li>an item<li>another</ul>"
 WANT = "Title one First & second words. Third boldjoined text here after a break. an item another"
 
