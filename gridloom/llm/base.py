@@ -6,9 +6,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import re
 import shutil
 import tempfile
+import threading
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -62,7 +65,8 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     try:
         for k, v in _WHILE.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        with _collecting(spark):
+            df.write.parquet(path)
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
@@ -75,6 +79,41 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+_collected = 0.0
+
+
+def _collect(spark: SparkSession) -> None:
+    """Has the driver drop the plans of finished writes, once its heap has grown to half of what
+    it may take: it would grow to all of that before it looked for garbage. Seldom enough that
+    a large heap in use costs little."""
+    global _collected
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() * 2 > runtime.maxMemory() and time.monotonic() - _collected > 2:
+        gc.collect()  # plans that Python still names
+        runtime.gc()
+        _collected = time.monotonic()
+
+
+@contextlib.contextmanager
+def _collecting(spark: SparkSession) -> Iterator[None]:
+    """Looks after the driver's heap each second while a write runs, and when it has ended."""
+    over = threading.Event()
+
+    def look() -> None:
+        with contextlib.suppress(Py4JError, OSError):  # the session may be stopped meanwhile
+            while not over.wait(1):
+                _collect(spark)
+
+    beside = threading.Thread(target=look, daemon=True)
+    beside.start()
+    try:
+        yield
+    finally:
+        over.set()
+        beside.join()
+    _collect(spark)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by cut(). Nothing may read them any more, not even lazily."""
     for t in tables:
@@ -115,6 +154,38 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+class IdBits:
+    """A bitmap of fixed size over the column id of a table: tells which rows of another table
+    may have one of its ids, so that a join need not deal the rest. It only spares work: some
+    other ids pass as well, the more the more ids there are, and a join must follow."""
+
+    BITS = 23
+
+    def __init__(self, ids: DataFrame):
+        def mark(batches):
+            bits = np.zeros(1 << IdBits.BITS, bool)
+            for batch in batches:
+                bits[IdBits.slot(batch.column(0))] = True
+            words = np.packbits(bits, bitorder="little").view(np.int64)
+            hit = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(words[hit])], ["word", "bits"])
+
+        got = arrow(ids.select("id"), mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(1 << (IdBits.BITS - 6), np.int64)
+        words[got["word"].to_numpy()] = got["bits"].to_numpy()
+        self.words = ids.sparkSession.sparkContext.broadcast(words)
+
+    @staticmethod
+    def slot(ids: pa.Array) -> np.ndarray:
+        return (mix(np.asarray(ids).view(np.uint64)) >> np.uint64(64 - IdBits.BITS)).astype(np.int64)
+
+    def only(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows whose first column, an id, may be among the table's."""
+        for batch in batches:
+            at = IdBits.slot(batch.column(0))
+            yield batch.filter(pa.array((self.words.value[at >> 6] >> (at & 63)) & 1 != 0))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

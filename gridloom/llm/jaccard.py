@@ -165,15 +165,16 @@ def _placed(member: DataFrame, labels: DataFrame | None) -> DataFrame:
     return member.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _open(units: DataFrame, lists: DataFrame, facts: DataFrame) -> DataFrame:
+_UNIT = ["g", "comp", "rep", "away", *_PARITY, "n", *_FIRST]
+
+
+def _open(units: DataFrame, lists: DataFrame) -> DataFrame:
     """Entries of lists that hold several components, low being the least: each group's
     shingles, for each component that it has members of. Groups with several count as lists
     themselves, at place 0."""
-    cols = ["g", "comp", "rep", "away", *_PARITY, "n", *_FIRST]
-    units = units.join(facts.drop(*_PARITY), "g").select(*cols)
     several = units.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    inside = units.join(several.select("g"), "g").select(F.col("g").alias("token"), F.lit(0).alias("pos"), F.lit(True).alias("inner"), *cols)
-    entries = lists.select("token", "g", "pos").join(units, "g").select("token", "pos", F.lit(False).alias("inner"), *cols).union(inside)
+    inside = units.join(several.select("g"), "g").select(F.col("g").alias("token"), F.lit(0).alias("pos"), F.lit(True).alias("inner"), *_UNIT)
+    entries = lists.select("token", "g", "pos").join(units, "g").select("token", "pos", F.lit(False).alias("inner"), *_UNIT).union(inside)
     mixed = entries.groupBy("token", "inner").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
     return entries.join(mixed.select("token", "inner", "low"), ["token", "inner"])
 
@@ -252,16 +253,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             units = units.join(apart.groupBy("y.g", "y.comp").agg(F.max(_apart("x", "y")).alias("away")), ["g", "comp"])
         else:
             units = units.withColumn("away", F.lit(0))  # only reps are paired
-        entries = cut(_open(units, lists, facts), "entries")
+        # a table, as lists of entries read it several times: the driver's plans stay small
+        units = cut(units.join(facts.drop(*_PARITY), "g").select(*_UNIT), "units")
+        entries = cut(_open(units, lists), "entries")
+        drop(units)
         pairs = cut(_rest(entries, placed, p) if last else _star(entries, p), "pairs")
+        drop(entries, *[placed, member, facts, lists] * last)
         links = verified(pairs, nodes, docs, id_col, text_col, p)
-        drop(entries, pairs, *[placed] * last)
+        drop(pairs)
         known = links
         if last:
             known = links.union(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")))
         labels = components(known)
         drop(links)
-    drop(nodes, member, facts, lists)
+    drop(nodes)
 
     found = sets.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     smallest = found.groupBy("comp").agg(F.min("id").alias("c"))

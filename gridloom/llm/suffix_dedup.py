@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.base import ByteHash, Piece, arrow, cut, drop, free_name, pieces, word_spans
+from gridloom.llm.base import ByteHash, IdBits, Piece, arrow, cut, drop, free_name, pieces, word_spans
 
 _NO_ID = (1 << 63) - 1
 
@@ -259,19 +259,18 @@ class Repeats:
 
 
 def _fetch(rows: DataFrame, ids: DataFrame, need: DataFrame, p: RepeatParams) -> DataFrame:
-    """(fp, n, text) for each key in need. ids: (fp, n, id) with one id for each text."""
+    """(fp, n, text) for each key in need, and for some others. ids: (fp, n, id) with one id
+    for each text. Texts that no id wants stay where they are: only the others are dealt."""
+    among = IdBits(ids.join(need.select("fp", "n"), ["fp", "n"], "left_semi").select("id"))
 
     def key(batches):
-        for batch in batches:
+        for batch in among.only(batches):
             for piece in pieces(batch.column(1)):
                 symbols, offsets = _symbols(piece, p)
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(symbols, offsets)[1], pa.int64()), pa.array(np.diff(offsets)), batch.column(1).slice(piece.lo, len(piece))], ["fp", "n", "text"])
 
-    wanted = ids.join(need.select("fp", "n"), ["fp", "n"], "left_semi")
-    hit = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "text")
-    keyed = arrow(hit.select("id", "text"), key, "fp long, n long, text string")
-    # an id that repeats may bring other texts along
-    return keyed.join(wanted.select("fp", "n"), ["fp", "n"], "left_semi").dropDuplicates(["fp", "n"])
+    # equal texts may come more than once, as may other texts of an id that repeats
+    return arrow(rows.select("id", "text"), key, "fp long, n long, text string").dropDuplicates(["fp", "n"])
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -290,17 +289,19 @@ def find_repeats(docs: DataFrame, searches: list[RepeatParams], id_col: str = "d
         passed, more, tables = _settle(cells, p.cells[0], 64)
         if k == len(searches) - 1:
             drop(first)
-        spans = [cut(_spans(passed, p.cells[0], 64, p), "part")]
+        spans, loaded = [cut(_spans(passed, p.cells[0], 64, p), "part")], None
         for size, sub in zip(p.cells[:-1], p.cells[1:]):
-            more = more.groupBy("fp", "n").agg(F.collect_set("at").alias("ats"))
-            loaded = cut(_fetch(rows, texts, more, p).join(more, ["fp", "n"]), "round")
+            more = cut(more.groupBy("fp", "n").agg(F.collect_set("at").alias("ats")), "more")
             drop(*tables)
+            # a round's texts are among those of the one before it
+            found = loaded.select("fp", "n", "text") if loaded else _fetch(rows, texts, more, p)
+            before, loaded = [loaded] * bool(loaded), cut(found.join(more, ["fp", "n"]), "round")
+            drop(more, *before)
             cells = cut(_next_round(loaded, size, sub, p), "cells")
-            drop(loaded)
             passed, more, tables = _settle(cells, sub, 1024)
             drop(cells)
             spans.append(cut(_spans(passed, sub, 1024, p), "part"))
-        drop(*tables)
+        drop(*tables, *[loaded] * bool(loaded))
         whole = cut(whole, "whole")
         merged = reduce(DataFrame.union, spans).join(whole, ["fp", "n"], "left_anti").groupBy("fp", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
         out.spans.append(cut(merged, "spans"))

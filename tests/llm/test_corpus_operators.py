@@ -3,13 +3,15 @@
 import hashlib
 import math
 import random
+import types
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from gridloom.llm import ann, html_extract, jaccard, mixing, suffix_dedup
+from gridloom.llm import ann, base, html_extract, jaccard, mixing, suffix_dedup
+from gridloom.llm.base import IdBits, cut
 from gridloom.llm.components import components
 
 from .conftest import EN, prose
@@ -371,3 +373,48 @@ def test_families_at_the_threshold(make_docs):
         rows.append((i, " ".join(words)))
     got = sorted(tuple(r) for r in jaccard.jaccard_components(make_docs(rows)).collect())
     assert got == sorted(jaccard.brute_force(rows))
+
+
+def test_texts_without_repeats_stay_where_they_are(spark):
+    rng = random.Random(8)
+    shared = " ".join(f"{rng.getrandbits(32):08x}" for _ in range(80))
+    rows = [(k, " ".join(f"{rng.getrandbits(32):08x}" for _ in range(600)) + (" " + shared) * (k in (3, 7))) for k in range(400)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    gateway = spark.sparkContext._gateway
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    seen, was = {s.stageId() for s in _each(stages())}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = suffix_dedup.find_repeats(docs, [suffix_dedup.RepeatParams(), suffix_dedup.WORDS_51])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert [t.count() for t in found.spans] == [2, 2]
+    dealt = sum(s.shuffleWriteBytes() for s in _each(stages()) if s.stageId() not in seen)
+    assert dealt < 1.5 * sum(len(t) for _, t in rows), dealt
+
+
+def _each(seq):
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_id_bits_keep_every_id(spark):
+    ids = [0, 1, -1, (1 << 63) - 1, -(1 << 63), *range(10_000, 90_000, 7)]
+    bits = IdBits(spark.createDataFrame([(i,) for i in ids], "id long").repartition(3))
+    (kept,) = bits.only([pa.RecordBatch.from_arrays([pa.array([*ids, *range(1 << 40, (1 << 40) + 10_000)])], ["id"])])
+    kept = kept.column(0).to_pylist()
+    assert kept[: len(ids)] == ids and len(kept) - len(ids) < 100
+    (none,) = IdBits(spark.createDataFrame([], "id long")).only([pa.RecordBatch.from_arrays([pa.array(ids)], ["id"])])
+    assert none.num_rows == 0
+
+
+def test_writes_look_after_the_drivers_heap(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(base, "_collected", 0.0)
+    runtime = lambda total: types.SimpleNamespace(totalMemory=lambda: total, maxMemory=lambda: 100, gc=lambda: calls.append(total))
+    for total in (40, 60, 70):  # too small; collected; too soon again
+        java = types.SimpleNamespace(lang=types.SimpleNamespace(Runtime=types.SimpleNamespace(getRuntime=lambda t=total: runtime(t))))
+        base._collect(types.SimpleNamespace(_jvm=types.SimpleNamespace(java=java)))
+    assert calls == [60]
+    monkeypatch.setattr(base, "_collect", lambda s: calls.append("looked"))
+    assert cut(spark.range(3)).count() == 3
+    assert calls[-1] == "looked"
